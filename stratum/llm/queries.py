@@ -22,9 +22,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 1024)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license templates in every whole text."""
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text and in what is encoded in it."""
+    from .secret_scan import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts,)}
+    return {f.__name__: f for f in (op1_token_counts, op4_license_scan, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .license_scan import scan_licenses_sql
+
+    return {"op4_license_scan": scan_licenses_sql()}
