@@ -29,6 +29,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from labelled rows outside the held-out fold."""
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from rows outside the held-out fold."""
+    from .language_id import predict_language
+
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text and in what is encoded in it."""
     from .secret_scan import find_secrets
@@ -37,7 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_license_scan, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op4_license_scan, op5_toxicity, op7_language_id, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
