@@ -43,6 +43,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products for every hundredth vector, among all others."""
+    from .topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text and in what is encoded in it."""
     from .secret_scan import find_secrets
@@ -51,10 +58,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_license_scan, op5_toxicity, op7_language_id, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op4_license_scan, op5_toxicity, op7_language_id, op8_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .license_scan import scan_licenses_sql
 
-    return {"op4_license_scan": scan_licenses_sql()}
+    from .topk_search import top_k_sql
+
+    return {"op4_license_scan": scan_licenses_sql(), "op8_top_k": top_k_sql()}
