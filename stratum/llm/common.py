@@ -72,3 +72,15 @@ def arrow_pieces(batch: pa.RecordBatch, size: int = 8 << 20, col: str = "text")
             start, total = i + 1, 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that a frame does not have yet, whatever its letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

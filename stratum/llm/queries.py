@@ -22,6 +22,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 1024)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its own evidence and its site's rate."""
+    from .quality import score_quality
+
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "evidence", "host_rate", "path_rate", "score", "keep")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and license templates in every whole text."""
     from .license_scan import scan_licenses
@@ -36,6 +44,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, as it is or with other numbers and names."""
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from rows outside the held-out fold."""
     from .language_id import predict_language
@@ -58,7 +73,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_license_scan, op5_toxicity, op7_language_id, op8_top_k, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op3_quality, op4_license_scan, op5_toxicity, op6_decontamination, op7_language_id, op8_top_k, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
