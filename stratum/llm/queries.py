@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -65,6 +66,13 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document: five-word shingles, similarity 0.8 or more."""
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text and in what is encoded in it."""
     from .secret_scan import find_secrets
@@ -73,7 +81,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality, op4_license_scan, op5_toxicity, op6_decontamination, op7_language_id, op8_top_k, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op3_quality, op4_license_scan, op5_toxicity, op6_decontamination, op7_language_id, op8_top_k, op9_near_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
