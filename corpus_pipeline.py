@@ -3,12 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stratum.llm import decontaminate, near_dedup, quality, secret_scan, sentence_pieces
 from stratum.llm.common import materialize, table
+from stratum.llm.queries import tokenizer_file
 
-STAGES: list = []
 
-#: The last stage's pieces have no SQL form; tests hold run() against a brute-force version.
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    keep = scored.columns[-1]
+    return scored.where(F.col(keep)).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and n_chars brought up to date."""
+    masked = secret_scan.redact(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        masked = masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return masked.select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every remaining text."""
+    return sentence_pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", keep_one_of_each),
+    ("benchmark decontamination", keep_clean),
+    ("secret scans", mask_secrets),
+    ("SentencePiece encoding and decoding", encode),
+]
+
+#: Shingles, classifiers and pieces have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -23,6 +23,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 1024)
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every whole text, and whether they decode to it."""
+    from .sentence_pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document from its own evidence and its site's rate."""
     from .quality import score_quality
@@ -81,7 +88,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality, op4_license_scan, op5_toxicity, op6_decontamination, op7_language_id, op8_top_k, op9_near_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sentence_pieces, op3_quality, op4_license_scan, op5_toxicity, op6_decontamination, op7_language_id, op8_top_k, op9_near_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,7 +14,7 @@ too; repeated labels count repeatedly; a null id is not held out and teaches not
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,19 +60,27 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - 18)).astype(np.int32)
 
 
-def window_means(z: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For word values z of texts laid end to end: each window's mean, its text, its first and last place."""
+def windows(doc_starts: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts laid end to end: each window's text, its first and last place."""
     counts = np.maximum(1, -(-(doc_ends - doc_starts - WINDOW) // STRIDE) + 1)
     counts = np.where(doc_ends > doc_starts, counts, 0)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    first = doc_starts[doc] + k * STRIDE
-    last = np.minimum(first + WINDOW, doc_ends[doc])
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    first = np.arange(counts.sum(), dtype=np.int32)
+    first -= np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
+    first *= STRIDE
+    first += doc_starts.astype(np.int32)[doc]
+    return doc, first, np.minimum(first + WINDOW, doc_ends.astype(np.int32)[doc])
+
+
+def window_means(z: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(z, dtype=np.float64)])
-    return (total[last] - total[first]) / WINDOW, doc, first, last
+    means = total[last]
+    means -= total[first]
+    means /= WINDOW
+    return means
 
 
-def train(texts: list[str], toxic: np.ndarray, epochs: int = 60, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: Iterable[str], toxic: np.ndarray, epochs: int = 60, seed: int = 7) -> tuple[np.ndarray, float]:
     """Per bucket the difference of the two softmax inputs that its vector adds, and the bias."""
     vocabulary: dict[str, int] = {}
     ids, ends = [], []
@@ -83,6 +91,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 60, seed: int = 7)
     if not vocabulary:
         return np.zeros(BUCKETS, np.float32), -1.0
     tokens, doc_ends = np.concatenate(ids), np.cumsum(ends)
+    del ids
     doc_starts = doc_ends - np.asarray(ends)
     grams, owner = gram_buckets(list(vocabulary))
     share = (1.0 / np.bincount(owner, minlength=len(vocabulary)))[owner].astype(np.float32)
@@ -93,6 +102,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 60, seed: int = 7)
     y = toxic.astype(np.int64)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
     length = np.maximum(1, doc_ends - doc_starts)
+    doc, first, last = windows(doc_starts, doc_ends)
     state = [np.full(x.shape, 1e-8, np.float32) for x in (table, softmax, bias)]
     for epoch in range(epochs):
         averages = epoch < epochs // 4
@@ -103,12 +113,12 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 60, seed: int = 7)
             total = np.concatenate([[0.0], np.cumsum(zt)])
             logit = (total[doc_ends] - total[doc_starts]) / length
         else:
-            means, doc, first, last = window_means(zt, doc_starts, doc_ends)
+            means = window_means(zt, first, last)
             begins = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
             highest = np.maximum.reduceat(means, begins)
             top = np.flatnonzero(means == np.repeat(highest, np.diff(np.append(begins, len(means)))))
             best = top[np.append(True, doc[top][1:] != doc[top][:-1])]
-            logit = np.zeros(len(texts))
+            logit = np.zeros(len(ends))
             logit[doc[best]] = means[best]
         p = 1 / (1 + np.exp(-np.clip(logit + bias[1] - bias[0], -30, 30)))
         g = (p - y) * weight  # by the margin
@@ -149,7 +159,8 @@ class Scorer:
         get = self.known.__getitem__
         ends = np.cumsum([len(w) for w in split])
         z = np.fromiter((v for w in split for v in map(get, w)), np.float64, int(ends[-1]) if len(ends) else 0)
-        means, doc, _, _ = window_means(z, ends - np.array([len(w) for w in split], np.int64), ends)
+        doc, first, last = windows(ends - np.array([len(w) for w in split], np.int64), ends)
+        means = window_means(z, first, last)
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, doc, means)
         worst[np.isneginf(worst)] = 0.0
@@ -168,10 +179,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per
         kept |= (F.col("y") == y) & (F.pmod(F.xxhash64(F.col("id"), F.lit(41)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, per_class / n)))
     rows = F.broadcast(rows.where(kept))
     found = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(rows, "id").select("id", "t", "y").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    return [t or "" for t in found["t"].to_pylist()], found["y"].to_numpy()
+    y = found["y"].to_numpy()
+    return [t or "" for t in found["t"].to_pylist()], y
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: int = 4000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: int = 2500, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, held_out (crc32 of the id mod fold is 0), score, predicted."""
     remainder = lambda c: F.crc32(c.cast("string")) % fold
     texts, y = training_sample(docs, labels, "toxic", lambda c: remainder(c) != 0, per_class, key, text)
