@@ -183,7 +183,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per
     return [t or "" for t in found["t"].to_pylist()], y
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: int = 2500, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, held_out (crc32 of the id mod fold is 0), score, predicted."""
     remainder = lambda c: F.crc32(c.cast("string")) % fold
     texts, y = training_sample(docs, labels, "toxic", lambda c: remainder(c) != 0, per_class, key, text)
