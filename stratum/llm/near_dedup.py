@@ -63,7 +63,7 @@ class Shingles:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            for x in set(words) - known.keys():
+            for x in {x for x in words if x not in known}:
                 known[x] = int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
             w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if not len(w):
