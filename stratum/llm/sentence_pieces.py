@@ -185,7 +185,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [WORDS.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         words = set(chain.from_iterable(split))
-        new = words - self.known.keys()
+        new = {w for w in words if w not in self.known}
         if new:
             if len(self.known) > REMEMBERED:
                 self.known.clear()

@@ -147,7 +147,7 @@ class Scorer:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         split = [WORD.findall(t.lower()) for t in texts]
-        new = set().union(*split) - self.known.keys()
+        new = {w for w in set().union(*split) if w not in self.known}
         if new:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
