@@ -5,6 +5,8 @@ Everything is a join or grouping on path, object id or hash; small rule lists an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,20 +101,21 @@ def lane_similarity(a: str, b: str) -> Column:
 def most_similar(lanes: DataFrame, by: str, least: float = REPORT_SIMILAR) -> DataFrame:
     """by, other, similarity: for each file the most similar other (smallest name on ties), if at least so similar.
 
-    Files with the same 32 lanes are each other's best and stand for one signature in the rest. Other candidates are
-    the signatures that share a lane value, found by an equi-join on (lane, value), and counted.
+    Files with the same 32 lanes are each other's best and stand for one signature in the rest. Two signatures that
+    agree on so many lanes agree on one of the first few (as many as may differ, and one more): candidates come from
+    an equi-join on those lanes and their values, and their lanes are then compared in full.
     """
-    groups = lanes.groupBy("lanes").agg(F.min(by).alias("first"), F.count("*").alias("n"))
-    second = lanes.join(groups.select("lanes", F.col("first").alias("f")), "lanes").where(F.col(by) != F.col("f")).groupBy("lanes").agg(F.min(by).alias("second"))
-    same = lanes.join(groups.select("lanes", "first"), "lanes").join(second, "lanes").select(by, F.when(F.col(by) == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("other"), F.lit(1.0).alias("similarity"))
-    alone = groups.where("n = 1").select("lanes")
-    sig = groups.select("lanes", F.col("first").alias("rep"))
-    values = sig.select("rep", "lanes", F.posexplode("lanes").alias("lane", "value"))
-    left = values.join(alone, "lanes", "left_semi").select(F.col("rep").alias(by), "lane", "value")
-    pairs = left.join(values.select(F.col("rep").alias("other"), "lane", "value"), ["lane", "value"]).where(F.col(by) != F.col("other"))
-    counted = pairs.groupBy(by, "other").agg((F.count("*") / LANES).alias("similarity")).where(F.col("similarity") >= least)
-    best = counted.groupBy(by).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("x")).select(by, F.col("x.other").alias("other"), (-F.col("x.s")).alias("similarity"))
-    return same.unionByName(best)
+    few = min(LANES, LANES - math.ceil(least * LANES) + 1)
+    groups = lanes.groupBy("lanes").agg(F.min(by).alias("__rep"), F.count("*").alias("__n"))
+    pair = lanes.join(groups.where("__n > 1"), "lanes")
+    second = pair.where(F.col(by) != F.col("__rep")).groupBy("lanes").agg(F.min(by).alias("__second"))
+    same = pair.join(second, "lanes").select(by, F.when(F.col(by) == F.col("__rep"), F.col("__second")).otherwise(F.col("__rep")).alias("other"), F.lit(1.0).alias("similarity"))
+    values = groups.select("__rep", "__n", "lanes", F.posexplode(F.slice("lanes", 1, few)).alias("__lane", "__value"))
+    left = values.where("__n = 1").select(F.col("__rep").alias("__a"), F.col("lanes").alias("__la"), "__lane", "__value")
+    right = values.select(F.col("__rep").alias("__b"), F.col("lanes").alias("__lb"), "__lane", "__value")
+    pairs = left.join(right, ["__lane", "__value"]).where("__a <> __b").select("__a", "__b", lane_similarity("__la", "__lb").alias("s")).where(F.col("s") >= least)
+    best = pairs.groupBy("__a").agg(F.min(F.struct((-F.col("s")).alias("s"), "__b")).alias("x"))
+    return same.unionByName(best.select(F.col("__a").alias(by), F.col("x.__b").alias("other"), (-F.col("x.s")).alias("similarity")))
 
 
 def match_rules(paths: DataFrame, rules: DataFrame, default: str | None = None) -> DataFrame:
