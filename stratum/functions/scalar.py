@@ -220,3 +220,13 @@ def replace_ids(x, mapping: Column) -> Column:
     """A message with every object id that a map holds replaced."""
     pieces = F.regexp_extract_all(c(x), F.lit(r"\b[0-9a-f]{40}\b|[^0-9a-f]+|[0-9a-f]+"), F.lit(0))
     return F.array_join(F.transform(pieces, lambda p: F.coalesce(mapping[p], p)), "")
+
+
+def geo_role(semantic_role) -> Column:
+    """The kind of place in a semantic role such as [City].[Name]; null without one."""
+    return F.nullif(F.regexp_extract(c(semantic_role), r"^\[([^\]]+)\]", 1), F.lit(""))
+
+
+def summary_guard(size, limit: int = 262063) -> Column:
+    """Null, or the error code of a blob that is too large to be summarised where it is."""
+    return F.when(c(size) > limit, F.lit(7))

@@ -132,6 +132,22 @@ def global_dedup_sample(chunks: DataFrame, modulus: int = 1024) -> DataFrame:
     return chunks.where((hash_mod("hash", modulus) == 0) | (F.col("seq") == 0))
 
 
+def spaced_queries(chunks: DataFrame, modulus: int = 1024, spacing: int = 256) -> DataFrame:
+    """Of the sampled chunks of each file those that ask other stores: the first, then the next at least so many chunks
+    on. Each choice depends on the last one, so a file's few sampled chunks are walked in order."""
+    import pandas as pd
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, kept, last = pdf.sort_values("seq"), [], None
+        for seq in pdf["seq"]:
+            kept.append(last is None or seq - last >= spacing)
+            last = seq if kept[-1] else last
+        return pdf[kept]
+
+    rows = global_dedup_sample(chunks, modulus)
+    return rows.groupBy("file_id").applyInPandas(walk, rows.schema)
+
+
 def text_passthrough(data: Column, threshold: int = 262063) -> Column:
     """Whether a file stays as it is: empty, or small text."""
     from stratum.functions.scalar import is_small_text

@@ -6,6 +6,7 @@ Everything is a join or grouping on path, object id or hash; small rule lists an
 from __future__ import annotations
 
 import math
+import mimetypes
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,10 @@ OCTETS = "application/octet-stream"
 
 
 def file_type_table(df: DataFrame, types=FILE_TYPES) -> DataFrame:
-    return df.sparkSession.createDataFrame(list(types), "ext string, type_name string, mime string")
+    """The named types, then what Python's own mime table knows under a name made from the extension."""
+    named = {t[0] for t in types}
+    rest = [(ext[1:], f"{ext[1:].upper()} File", mime) for ext, mime in sorted(mimetypes.MimeTypes(()).types_map[True].items()) if ext[1:] not in named]
+    return df.sparkSession.createDataFrame([*types, *rest], "ext string, type_name string, mime string")
 
 
 def classify(df: DataFrame, path: str = "path", types: DataFrame | None = None) -> DataFrame:
@@ -58,6 +62,14 @@ def repo_size(tree: DataFrame) -> DataFrame:
     return tree.agg(F.count("*").alias("n_files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
 
 
+def detailed_repo_size(before: DataFrame, after: DataFrame, usage: DataFrame) -> DataFrame:
+    """One row: repo_bytes and stored_bytes after a commit (what all files hold, what their blocks hold), and its stats."""
+    used = usage.join(after.select("oid").distinct(), "oid", "left_semi")
+    blocks = used.groupBy("cas_hash").agg(F.max("bytes").alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("stored_bytes"))
+    files = after.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("repo_bytes"), F.count("*").alias("n_files"))
+    return files.crossJoin(blocks).crossJoin(commit_stats(before, after, usage))  # one row each
+
+
 def commit_stats(before: DataFrame, after: DataFrame, usage: DataFrame) -> DataFrame:
     """One row: what a commit adds. usage(oid, cas_hash, bytes) says which blocks a file uses.
 
@@ -230,6 +242,19 @@ def roots_and_cycles(edges: DataFrame) -> DataFrame:
     return roots.unionByName(cycles)
 
 
+def resolve(asked: DataFrame, local: DataFrame, remote: DataFrame, key: str, value: str, policy: str = "local_first") -> DataFrame:
+    """key, value from the local table, the remote one, or the local and then the remote one."""
+    if policy not in ("local_first", "local_only", "remote_only"):
+        raise ValueError(f"no such policy: {policy}")
+    a, b = local.select(key, F.col(value).alias("__l")), remote.select(key, F.col(value).alias("__r"))
+    rows = asked.select(key).distinct()
+    if policy != "remote_only":
+        rows = rows.join(a, key, "left")
+    if policy != "local_only":
+        rows = rows.join(b, key, "left")
+    return rows.select(key, F.coalesce(*(x for x in ("__l", "__r") if x in rows.columns)).alias(value))
+
+
 def last_by(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(*by).orderBy(F.desc(order))

@@ -225,6 +225,22 @@ def commit_stats(spark, sf_dir):
     return R.commit_stats(*two_trees(spark, sf_dir), usage)
 
 
+@query(f"""
+WITH b AS ({_B}), u AS ({_USAGE}), x AS (SELECT cas_hash, max(bytes) AS m FROM u WHERE oid IN (SELECT oid FROM b) GROUP BY 1)
+SELECT (SELECT count(*) FROM b) AS n_files, (SELECT sum(size)::BIGINT FROM b) AS repo_bytes, (SELECT sum(m)::BIGINT FROM x) AS stored_bytes""")
+def detailed_repo_size(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    usage = d.select(S.data_hash("text").alias("oid"), S.data_hash(F.substring("text", 1, 40)).alias("cas_hash"), F.octet_length("text").cast("long").alias("bytes")).distinct()
+    return R.detailed_repo_size(*two_trees(spark, sf_dir), usage).select("n_files", "repo_bytes", "stored_bytes")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'local' WHEN c_custkey % 2 = 0 THEN 'remote' END AS v FROM customer")
+def lookup_policy(spark, sf_dir):
+    k = table(spark, sf_dir, "customer").select("c_custkey")
+    side = lambda n, v: k.where(F.col("c_custkey") % n == 0).withColumn("v", F.lit(v))
+    return R.resolve(k, side(3, "local"), side(2, "remote"), "c_custkey", "v")
+
+
 @query(f"""
 WITH t AS (SELECT regexp_extract(path, '^src1/([^/]*)', 1) AS name, size FROM ({_TREE}) WHERE starts_with(path, 'src1/'))
 SELECT name, 'dir' AS type, sum(size)::BIGINT AS size FROM t GROUP BY name""")
@@ -536,6 +552,19 @@ def merkle_leaves(spark, sf_dir):
     return tops.join(found, "root").groupBy("file_id").agg(F.count("*").alias("n"), F.sum("len").alias("bytes"))
 
 
+@query(f"""
+WITH n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS attributes, strlen(text)::BIGINT AS len FROM documents)
+SELECT sum(len) FILTER (attributes & 1 > 0)::BIGINT AS block_bytes, count(*) FILTER (attributes & 1 > 0) AS n_blocks, sum(len) FILTER (attributes & 2 > 0)::BIGINT AS file_bytes, count(*) FILTER (attributes & 2 > 0) AS n_files FROM n""")
+def node_totals(spark, sf_dir):
+    bits = F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0) + F.when(F.col("doc_id") % 3 == 0, 2).otherwise(0)
+    return M.node_totals(table(spark, sf_dir, "documents").select(bits.alias("attributes"), F.octet_length("text").cast("long").alias("len")))
+
+
+@query()
+def spaced_queries(spark, sf_dir):
+    return C.spaced_queries(lines(spark, sf_dir), 4, 8)
+
+
 # --- similarity ------------------------------------------------------------------------------------------------------
 
 
@@ -732,6 +761,12 @@ def identifiers(spark, sf_dir):
     return spark.createDataFrame([("[a].[b]",), ("[c]",)], "text string").select("text", S.identifiers("text").alias("parts"), S.caption_of(F.lit("Sum"), F.lit("x")).alias("caption"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'City' END AS geo, CASE WHEN p_size > 25 THEN 7 END AS error FROM part")
+def roles_and_guards(spark, sf_dir):
+    role = F.when(F.col("p_size") % 2 == 0, "[City].[Name]").otherwise("none")
+    return table(spark, sf_dir, "part").select("p_partkey", S.geo_role(role).alias("geo"), S.summary_guard("p_size", 25).alias("error"))
+
+
 @query("SELECT * FROM (VALUES ('see ' || repeat('a', 40) || '.', 'see ' || repeat('b', 40) || '.', 1::INTEGER)) t(text, new, n)")
 def object_ids(spark, sf_dir):
     m = F.create_map(F.lit("a" * 40), F.lit("b" * 40))
