@@ -9,8 +9,8 @@ way to each place, the one that the library finds. (In long runs of one characte
 merge in another order than they were made, and a place may have no way; such a word is left to the library.)
 Characters without a piece become byte pieces.
 
-Words end where white space (or a line break, which no piece holds) begins, as no piece reaches over that; a worker
-remembers the words it has met. Decoding joins the pieces' bytes.
+A text is first cut where no piece of the vocabulary reaches over (between letters and other characters, before white
+space), so that its words recur; a worker remembers the words it has met. Decoding joins the pieces' bytes.
 
 Cases: null and empty texts have no pieces and decode to an empty text; rows may repeat; other columns are ignored.
 A literal U+2581 stands for a blank, as in the library.
@@ -31,8 +31,14 @@ from pyspark.sql import functions as F
 from .common import arrow_pieces
 
 BLANK = "▁"
-WORDS = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
-REMEMBERED = 500_000
+#: Ways to cut a text, the finest first; one fits a vocabulary if it leaves every piece whole.
+CUTS = (
+    re.compile(f"\n|{BLANK}*[^\\W\\d_²³¹¼-¾]+|{BLANK}*(?:[\\d_²³¹¼-¾]|[^\\w{BLANK}\n])+|{BLANK}+"),
+    re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+"),
+    re.compile("(?s).+"),
+)
+#: Words and pairs that a worker remembers, and characters in one suffix array.
+REMEMBERED, INDEXED = 400_000, 200_000
 #: What stands before a word, and for a character without a piece.
 NOTHING, BYTES = -1, -2
 
@@ -77,7 +83,8 @@ class Pieces:
             self.low[k, : self.length[k]] = [ord(c) + 1 for c in self.text[i]]
         self.high = np.where(np.arange(self.depth) < self.length[:, None], self.low, np.uint32(0xFFFFFFFF))
         self.size_of = {i: len(self.text[i]) for i in normal}
-        self.together: dict[tuple[int, int], bool] = {}
+        self.words = next(cut for cut in CUTS if all(len(cut.findall(t)) == 1 for t in self.id))
+        self.together: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def by_library(self, word: str) -> tuple[int, ...]:
@@ -131,9 +138,18 @@ class Pieces:
         return order, bound(self.low), bound(self.high)
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words together."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        """Encode new words, as many together as one index of bounded size holds."""
+        part, size = [], 0
+        for w in words:
+            part.append(w)
+            size += len(w) + 1
+            if size >= INDEXED:
+                self._learn(part)
+                part, size = [], 0
+        if part:
+            self._learn(part)
+
+    def _learn(self, words: list[str]) -> None:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         joined = "\0".join(words)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
@@ -155,15 +171,16 @@ class Pieces:
         for s in starts.tolist():
             last[s] = NOTHING
         together, may_follow = self.together, self.may_follow
-        if len(together) > 4 * REMEMBERED:
+        if len(together) > REMEMBERED:
             together.clear()
         for s, e, p in zip(begin[sort].tolist(), end[sort].tolist(), piece[sort].tolist()):
             a = last[s]
             if a is None or last[e] is not None:
                 continue
-            good = together.get((a, p))
+            pair = (a + 2) << 32 | (p + 2)
+            good = together.get(pair)
             if good is None:
-                good = together[a, p] = may_follow(a, p)
+                good = together[pair] = may_follow(a, p)
             if good:
                 last[e] = p
         size_of, known = self.size_of, self.known
@@ -183,7 +200,7 @@ class Pieces:
             known[word] = tuple(reversed(ids))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [WORDS.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        split = [self.words.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         words = set(chain.from_iterable(split))
         new = {w for w in words if w not in self.known}
         if new:
@@ -211,7 +228,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for whole in batches:
-            for batch in arrow_pieces(whole):
+            for batch in arrow_pieces(whole, 4 << 20):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 ids = p.encode(texts)
                 same = [p.decode(i) == t.replace(BLANK, " ") for i, t in zip(ids, texts)]
