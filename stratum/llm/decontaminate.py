@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -47,27 +48,25 @@ class Canon:
 
     def __init__(self) -> None:
         self.index: dict[str, int] = {}
-        self.hash, self.kind = np.empty(0, np.uint64), np.empty(0, np.uint8)
+        self.hash, self.kind = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.uint8)
 
     def _learn(self, tokens: set[str]) -> None:
-        from hashlib import blake2b
-
         if len(self.index) > REMEMBERED:
-            self.__init__()
+            self.index.clear()
         new = [t for t in tokens if t not in self.index]
-        hashes, kinds = [], []
-        for t in new:
+        at = len(self.index)
+        while at + len(new) > len(self.hash):
+            self.hash, self.kind = np.resize(self.hash, 2 * len(self.hash)), np.resize(self.kind, 2 * len(self.kind))
+        for i, t in enumerate(new, at):
             low = t.lower()
-            hashes.append(int.from_bytes(blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+            self.hash[i] = int.from_bytes(blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
             if t[0].isdigit():
-                kinds.append(_NUMBER)
+                self.kind[i] = _NUMBER
             elif not t[0].isalpha():
-                kinds.append(_STOP)
+                self.kind[i] = _STOP
             else:
-                kinds.append((_CAPITAL if t[0].isupper() and not t.isupper() else 0) | (_UNIT if low in UNITS else 0))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.hash = np.append(self.hash, np.array(hashes, np.uint64))
-        self.kind = np.append(self.kind, np.array(kinds, np.uint8))
+                self.kind[i] = (_CAPITAL if t[0].isupper() and not t.isupper() else 0) | (_UNIT if low in UNITS else 0)
+        self.index.update(zip(new, range(at, at + len(new))))
 
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
         """Hashes of the canonical words, whether each is a slot, the tokens, and the token of each word."""
