@@ -11,8 +11,8 @@ hash per shingle and not one per coordinate. Two texts agree on a coordinate wit
    neighbours; every member is compared with its hubs, exactly, by their shingle sets.
 3. Connected representatives get one label (alternating hub steps until nothing changes).
 4. In buckets that still hold several labels, members besides the hub are compared with one another in blocks, as
-   matrix products, each pair in the first bucket that it shares; a block gives at most one link per member that
-   joins two labels. So no link that the bands show is lost and no list of all pairs is ever written.
+   matrix products, each pair in the first bucket that it shares, those of the bucket's most frequent label only
+   with the others; a block gives at most one link per member that joins two labels. So no link that the bands show is lost and no list of all pairs is ever written.
 
 Cases: null and empty texts (no word) belong to no group and stay; repeated rows are copies; ids may be null.
 """
@@ -277,10 +277,15 @@ def _block_links(rid: list, label: np.ndarray, bands: np.ndarray, band: int, sid
 
 
 def residual_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between labels within buckets: members (bucket, band, rid, label, bands, size)."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rid", F.lit(5)), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    """Links (a, b) between labels within buckets: members (bucket, band, rid, label, bands, top, n_top, n_rest).
+
+    Members with their bucket's most frequent label (top) stand in blocks of their own and meet the other blocks only.
+    """
+    common, rest = F.ceil(F.col("n_top") / BLOCK).cast("int"), F.ceil(F.col("n_rest") / BLOCK).cast("int")
+    lane = lambda n: F.pmod(F.xxhash64("rid", F.lit(5)), n).cast("int")
+    is_top = F.col("label") == F.col("top")
+    rows = members.withColumn("own", F.when(is_top, lane(common)).otherwise(common + lane(rest)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(is_top, common).otherwise(F.lit(0)), common + rest - 1)))
     rows = rows.select(
         F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"),
         "band", F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
@@ -333,7 +338,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     rest = members.join(hubs, "bucket").where("rid <> hub").drop("hub", "h")
     rest = rest.join(labels, F.col("rid") == F.col("v"), "left").select("bucket", "band", "rid", "bands", F.coalesce("label", "rid").alias("label"))
     rest = materialize(rest)
-    unsure = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket", "size")
+    by_label = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    top = F.max_by("label", F.struct("n", "label")).alias("top")
+    unsure = by_label.groupBy("bucket").agg(top, F.max("n").alias("n_top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    unsure = bounded_broadcast(materialize(unsure.select("bucket", "top", "n_top", (F.col("n") - F.col("n_top")).alias("n_rest"))))
     more = residual_links(rest.join(unsure, "bucket"), sets, least)
     labels = components(edges.union(more))
     discard(sets)
