@@ -14,7 +14,7 @@ hash per shingle and not one per coordinate. Two texts agree on a coordinate wit
    matrix products, each pair in the first bucket that it shares, those of the bucket's most frequent label only
    with the others; a block gives at most one link per member that joins two labels. So no link that the bands show is lost and no list of all pairs is ever written.
 
-Cases: null and empty texts (no word) belong to no group and stay; repeated rows are copies; ids may be null.
+Cases: null, empty and blank texts belong to no group and stay; a text of signs alone is one shingle; repeated rows are copies; ids may be null.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ class Shingles:
 
     def of(self, text: str, counts: bool = False):
         """The distinct shingle hashes in order, and how often each occurs."""
-        words = WORD.findall(text.lower())
+        words = WORD.findall(text.lower()) or [" ".join(text.split())] * (not text.isspace() and text != "")
         known = self.words
         try:
             w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -128,7 +128,7 @@ def set_id(shingles: np.ndarray, counts: np.ndarray | None = None) -> bytes:
 
 
 def signatures(docs: DataFrame, key: str, text: str, weighted: bool) -> DataFrame:
-    """Per row: id, h (text hash), rid (id of the shingle set, null without words), bands."""
+    """Per row: id, h (text hash), rid (id of the shingle set, null for null and blank texts), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
-    """One document of each group, the one of smallest id (and text hash), all columns; texts without words stay."""
+    """One document of each group, the one of smallest id (and text hash), all columns; null and blank texts stay."""
     found = near_duplicates(docs, key, text, least)
     kept = F.min(F.struct("id", "h")).alias("first")
     firsts = found.where("label IS NOT NULL").groupBy("label").agg(kept, F.count("*").alias("n")).where("n > 1")
