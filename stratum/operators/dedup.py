@@ -198,17 +198,19 @@ def reconstruct(segments: DataFrame, data: DataFrame, start: int = 0, length: in
     return pieces.groupBy("file_hash").agg(F.unhex(F.array_join(ordered, "")).alias("bytes"))
 
 
-def clean(df: DataFrame, file_id: str, data: str, target: int, hashers: int, block_target: int = BLOCK_TARGET) -> dict[str, DataFrame]:
+def clean(df: DataFrame, file_id: str, data: str, target: int, hashers: int, block_target: int = BLOCK_TARGET, lanes: int | None = None) -> dict[str, DataFrame]:
     """Files to a store: chunks, and new content packed into blocks, as the four tables (and pointers).
 
-    One shuffle by chunk hash finds the first copy of every chunk, one by file rebuilds the segments.
+    Blocks are filled in lanes, as many as the session has shuffle partitions unless told otherwise. One shuffle by
+    chunk hash finds the first copy of every chunk, one by file rebuilds the segments.
     """
     from stratum.functions.scalar import pointer_text
     from stratum.operators.chunks import content_chunks
     from stratum.operators.merkle import file_hashes
 
     chunks = content_chunks(df, file_id, data, target, hashers, with_bytes=True)
-    fresh = chunks.groupBy("hash").agg(F.min_by(F.struct("len", "bytes"), F.struct("file_id", "seq")).alias("x"), F.min("file_id").alias("home")).select("hash", "x.len", "x.bytes", F.pmod(F.xxhash64("home"), F.lit(64)).alias("lane"))
+    lanes = lanes or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fresh = chunks.groupBy("hash").agg(F.min_by(F.struct("len", "bytes"), F.struct("file_id", "seq")).alias("x"), F.min("file_id").alias("home")).select("hash", "x.len", "x.bytes", F.pmod(F.xxhash64("home"), F.lit(lanes)).alias("lane"))
     packed = pack(fresh, "lane", "hash", "len", block_target)
     order = Window.partitionBy("lane", "bin").orderBy("hash")
     placed = packed.withColumn("idx", F.row_number().over(order) - 1)

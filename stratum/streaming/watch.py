@@ -20,6 +20,15 @@ def watch(spark: SparkSession, path: str, schema: str, on_change: Callable[[Data
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def last_version(spark: SparkSession, store_path: str, below: int) -> int | None:
+    """The highest complete version of a store under a number, on any file system that Spark reads."""
+    at = lambda *x: spark._jvm.org.apache.hadoop.fs.Path("/".join((store_path, *x)))
+    fs = at().getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at())] if fs.exists(at()) else []
+    numbers = (int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(at(n, "_SUCCESS")))
+    return max((n for n in numbers if n < below), default=None)
+
+
 def fold_notes(store_path: str, key: str) -> Callable[[DataFrame, int], None]:
     """For watch(): merges notes into a store of one row per key, later notes winning, a new version each batch.
 
@@ -29,13 +38,9 @@ def fold_notes(store_path: str, key: str) -> Callable[[DataFrame, int], None]:
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("version", F.lit(number))
-        if number:
-            try:
-                old = spark.read.parquet(f"{store_path}/v{number - 1}")
-            except Exception:  # the first batches may have been empty
-                old = None
-            if old is not None:
-                new = old.unionByName(new)
+        before = last_version(spark, store_path, number)
+        if before is not None:
+            new = spark.read.parquet(f"{store_path}/v{before}").unionByName(new)
         last = new.groupBy(key).agg(F.max_by(F.struct(*[x for x in new.columns if x != key]), "version").alias("x"))
         last.select(key, "x.*").select(*new.columns).write.mode("overwrite").parquet(f"{store_path}/v{number}")
 
