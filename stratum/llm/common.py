@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -74,6 +77,21 @@ def arrow_pieces(batch: pa.RecordBatch, size: int = 8 << 20, col: str = "text")
         yield batch.slice(start)
 
 
+def releasing(run):
+    """A batch function that gives freed memory back when its task ends, as workers live on for other tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that a frame does not have yet, whatever its letter case."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pieces, bounded_broadcast, fresh, materialize, text_hash
+from .common import arrow_pieces, bounded_broadcast, fresh, materialize, releasing, text_hash
 
 WIDTH, PLAIN, COVERED = 8, 4, 0.5
 BITS = 24
@@ -39,7 +39,7 @@ UNITS = frozenset(
 )
 NUM, NAME, UNIT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _PLAIN, _CAPITAL, _NUMBER, _UNIT, _STOP = 0, 1, 2, 4, 8
 
 
@@ -132,7 +132,7 @@ def windows(texts: DataFrame, table: np.ndarray | None) -> DataFrame:
                     [f.name for f in fields],
                 )
 
-    return texts.mapInArrow(run, T.StructType(fields))
+    return texts.mapInArrow(releasing(run), T.StructType(fields))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

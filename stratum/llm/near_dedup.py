@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pieces, bounded_broadcast, discard, fresh, materialize, text_hash
+from .common import arrow_pieces, bounded_broadcast, discard, fresh, materialize, releasing, text_hash
 
 WORD = re.compile(r"\w+")
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 BLOCK = 192
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 U = np.uint64
 GOLD, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Poisson(1): chance of at most so many darts in a cell.
@@ -110,7 +110,7 @@ def dart_minhash(element: np.ndarray, doc: np.ndarray, docs: int, k: int, weight
         element, doc = element[keep], doc[keep]
         if inside is not None:
             inside = inside[keep]
-        step = max(1, min(low, 2_000_000 // max(1, len(element)), 4000 - low))
+        step = max(1, min(low, 400_000 // max(1, len(element)), 4000 - low))
     return (best & U(0xFFFFFFFF)).astype(np.uint32).reshape(docs, k)
 
 
@@ -148,7 +148,7 @@ def signatures(docs: DataFrame, key: str, text: str, weighted: bool) -> DataFram
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), text_hash(text).alias("h"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, h long, rid binary, bands array<long>")
+    return rows.mapInArrow(releasing(run), f"id {kind}, h long, rid binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, weighted: bool) -> DataFrame:
@@ -164,7 +164,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, weighted: bool)
                 )
 
     rows = docs.select(text_hash(text).alias("h"), F.col(text).alias("text")).join(bounded_broadcast(wanted), "h").select("rid", "text")
-    return rows.mapInArrow(run, "rid binary, s binary, c binary").groupBy("rid").agg(F.first("s").alias("s"), F.first("c").alias("c"))
+    return rows.mapInArrow(releasing(run), "rid binary, s binary, c binary").groupBy("rid").agg(F.first("s").alias("s"), F.first("c").alias("c"))
 
 
 def similarity(a: bytes, b: bytes, ca: bytes, cb: bytes) -> float:
@@ -194,7 +194,7 @@ def verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     joined = edges.join(one, "a").join(two, "b")
     # without weights a pair whose sizes differ too much can't be similar
     near = (F.octet_length("wa") > 0) | (F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    return joined.where(near).select("a", "sa", "wa", "b", "sb", "wb").mapInArrow(run, "a binary, b binary")
+    return joined.where(near).select("a", "sa", "wa", "b", "sb", "wb").mapInArrow(releasing(run), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def residual_links(members: DataFrame, sets: DataFrame, least: float) -> DataFra
         if waiting:
             yield flush()
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(releasing(run), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR, weighted: bool = False) -> DataFrame:

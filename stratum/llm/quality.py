@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pieces, bounded_broadcast, fresh, materialize
+from .common import arrow_pieces, bounded_broadcast, fresh, materialize, releasing
 from .toxicity import training_sample
 
 SYMBOLS = "*$%&#|^~=<>@"
@@ -75,7 +75,7 @@ def evidence(docs: DataFrame, weights: np.ndarray, name: str, text: str) -> Data
                 logit = np.clip(x @ weights[:-1] + weights[-1], -12, 12)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logit)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(releasing(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def _strength(groups: DataFrame, mean) -> float:

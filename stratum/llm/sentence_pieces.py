@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pieces
+from .common import arrow_pieces, releasing
 
 BLANK = "▁"
 #: Ways to cut a text, the finest first; one fits a vocabulary if it leaves every piece whole.
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], [key, "n_pieces", "piece_ids", "round_trip"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, n_pieces long, piece_ids array<int>, round_trip boolean")
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(releasing(run), f"`{key}` {kind}, n_pieces long, piece_ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "piece_ids") -> DataFrame:
@@ -247,4 +247,4 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "piece
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.decode(i or []) for i in batch.column(1).to_pylist()], pa.string())], [key, "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(F.col(key), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, text string")
+    return encoded.select(F.col(key), F.col(ids).alias("ids")).mapInArrow(releasing(run), f"`{key}` {kind}, text string")
