@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.scalar import ancestors, extension, file_name, join_path, normalize_path, parent
+from stratum.operators.lineage import cut
 
 LANES, LANE_BITS = 32, 16
 REPORT_SIMILAR = 0.5
@@ -221,11 +222,11 @@ def chart_dependencies(charts: DataFrame, tree: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
     """root, node: all that is reached from roots (root) along edges (src, dst); cycles end."""
-    done = roots.select("root", F.col("root").alias("node")).distinct()
-    front = done
+    edges = edges.select("src", "dst").distinct()
+    done = front = cut(roots.select("root", F.col("root").alias("node")).distinct())
     for _ in range(rounds):
-        new = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        front = new.join(done, ["root", "node"], "left_anti").cache()
+        new = front.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        front = cut(new.join(done, ["root", "node"], "left_anti"))
         if front.isEmpty():
             return done
         done = done.unionByName(front)
