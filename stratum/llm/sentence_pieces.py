@@ -18,6 +18,7 @@ A literal U+2581 stands for a blank, as in the library.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,7 +39,7 @@ CUTS = (
     re.compile("(?s).+"),
 )
 #: Words and pairs that a worker remembers, and characters in one suffix array.
-REMEMBERED, INDEXED = 400_000, 200_000
+REMEMBERED, INDEXED = 600_000, 200_000
 #: What stands before a word, and for a character without a piece.
 NOTHING, BYTES = -1, -2
 
@@ -76,6 +77,7 @@ class Pieces:
         for b, i in self.byte.items():
             self.surface[i] = bytes([b])
         self.pieces = np.array(normal, np.int64)
+        self.shared = list(range(size))  # one object for each id, however many words hold it
         self.length = np.array([len(self.text[i]) for i in normal])
         self.depth = int(self.length.max())
         self.low = np.zeros((len(normal), self.depth), np.uint32)
@@ -183,7 +185,7 @@ class Pieces:
                 good = together[pair] = may_follow(a, p)
             if good:
                 last[e] = p
-        size_of, known = self.size_of, self.known
+        size_of, known, shared = self.size_of, self.known, self.shared
         for word, start, n in zip(words, starts.tolist(), lengths.tolist()):
             ids, i = [], start + n
             if last[i] is None:  # merges of a run of one character can depend on its length
@@ -195,11 +197,16 @@ class Pieces:
                     ids.extend(self.byte.get(b, self.unknown) for b in reversed(word[i - 1 - start].encode("utf-8", "surrogatepass")))
                     i -= 1
                 else:
-                    ids.append(p)
+                    ids.append(shared[p])
                     i -= size_of[p]
             known[word] = tuple(reversed(ids))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        get = self.known.__getitem__
+        return [list(chain.from_iterable(map(get, w))) for w in self._words(texts)]
+
+    def _words(self, texts: list[str]) -> list[list[str]]:
+        """The words of texts, all of them known."""
         split = [self.words.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         words = set(chain.from_iterable(split))
         new = {w for w in words if w not in self.known}
@@ -208,8 +215,7 @@ class Pieces:
                 self.known.clear()
                 new = words
             self.learn(sorted(new))
-        get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, w))) for w in split]
+        return split
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -218,8 +224,11 @@ class Pieces:
 
 @lru_cache(2)
 def pieces(path: str) -> Pieces:
-    """One for each worker process and file."""
-    return Pieces(path)
+    """One for each worker process and file. Its many small objects make no cycles: they need few collections."""
+    made = Pieces(path)
+    gc.freeze()
+    gc.set_threshold(200_000, 50, 100)
+    return made
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
