@@ -39,7 +39,7 @@ CUTS = (
     re.compile("(?s).+"),
 )
 #: Words and pairs that a worker remembers, and characters in one suffix array.
-REMEMBERED, INDEXED = 600_000, 200_000
+REMEMBERED, INDEXED = 500_000, 150_000
 #: What stands before a word, and for a character without a piece.
 NOTHING, BYTES = -1, -2
 
@@ -237,7 +237,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for whole in batches:
-            for batch in arrow_pieces(whole, 4 << 20):
+            for batch in arrow_pieces(whole, 2 << 20):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 ids = p.encode(texts)
                 same = [p.decode(i) == t.replace(BLANK, " ") for i, t in zip(ids, texts)]
