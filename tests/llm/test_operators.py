@@ -150,6 +150,15 @@ def test_secrets_in_layers(depth):
     assert secret_scan.all_spans(quote("a%25%2525 b", safe=""))[1] == []
 
 
+@pytest.mark.parametrize("inner", ["password%3Dabcdefghijkl9", "password\\u003dabcdefghijkl9", base64.b64encode(b"password%3Dabcdefghijkl9").decode()])
+def test_secrets_in_repeated_layers(inner):
+    blob = base64.b64encode(inner.encode()).decode()
+    text = f"a {blob} b\n{blob} c {blob}"
+    places = {(m.start(), m.end()) for m in re.finditer(re.escape(blob), text)}
+    assert len(places) == 3 and {(s, e) for s, _, e in secret_scan.all_spans(text)[1]} == places
+    assert secret_scan.redacted(text) == "a [REDACTED] b\n[REDACTED] c [REDACTED]"
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     texts, labels = [], []
