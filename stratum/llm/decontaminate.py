@@ -4,19 +4,23 @@ Texts become sequences of canonical words: numbers, names (capitalised within a
 turn into typed placeholders, everything else into lower case. Windows of eight canonical words are hash-joined with
 those of all benchmark items. What hits on one diagonal of a document and an item must fill the slots consistently:
 a value that the item repeats must be repeated by the document. An item counts as leaked if consistent diagonals
-cover at least half of its windows; so exact passages are found, and questions with other numbers and names too.
+cover at least half of its windows, so questions with other numbers and names are found too; or if a consistent run of
+matching words holds 13 or more that agree as they are (plain words, and slots filled with the item's own values),
+whatever share of the item that is, so long exact passages are found.
 
 Documents are read once. A bit table of fixed size over the benchmark's hashes drops nearly all windows before the
 join, which then decides exactly; benchmark windows are broadcast only up to a counted bound.
 
-Cases: null and empty texts and items hold no window; items of fewer than eight words, and windows of fewer than
-four plain words, are too unspecific to match; repeated rows (same id and text) give their matches once; null ids
-are ids of their own.
+Cases: null and empty texts and items hold no window; items of fewer than eight words are too unspecific to match;
+windows of fewer than four plain words match only with the same numbers and names, and count for runs, or for the
+share of an item that has no other windows; repeated rows (same id and text) give their matches once; null ids are ids
+of their own.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -29,6 +33,8 @@ from pyspark.sql import types as T
 from .common import arrow_pieces, bounded_broadcast, fresh, materialize, releasing, text_hash
 
 WIDTH, PLAIN, COVERED = 8, 4, 0.5
+#: Words of a consistent run that agree as they are; so many are a leak.
+RUN = 13
 BITS = 24
 TOKEN = re.compile(r"\d[\d.,]*\d|\d|[^\W\d_]+|[.!?:;\n]+")
 #: Units that follow a number.
@@ -40,6 +46,7 @@ UNITS = frozenset(
 NUM, NAME, UNIT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 REMEMBERED = 200_000
+EXACT = np.uint64(0xC2B2AE3D27D4EB4F)
 _PLAIN, _CAPITAL, _NUMBER, _UNIT, _STOP = 0, 1, 2, 4, 8
 
 
@@ -68,8 +75,8 @@ class Canon:
                 self.kind[i] = (_CAPITAL if t[0].isupper() and not t.isupper() else 0) | (_UNIT if low in UNITS else 0)
         self.index.update(zip(new, range(at, at + len(new))))
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Hashes of the canonical words, whether each is a slot, the tokens, and the token of each word."""
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Hashes of the canonical words and of the words as they are, whether each is a slot, the tokens, and the token of each word."""
         tokens = TOKEN.findall(text)
         try:
             at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
@@ -83,27 +90,32 @@ class Canon:
         name = ((kind & _CAPITAL) > 0) & (before != _STOP) & ~unit
         h = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, self.hash[at])))
         word = np.flatnonzero(kind != _STOP)
-        return h[word], (number | unit | name)[word], tokens, word
+        return h[word], self.hash[at[word]], (number | unit | name)[word], tokens, word
 
-    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """(starts, hashes) of the windows that are specific enough; slots, tokens and words as above."""
-        h, slot, tokens, word = self.words(text)
+    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, list[str], np.ndarray]:
+        """(starts, hashes) of the windows, first those that are specific enough, then the others by their words as they are; how many are of the first sort; slots, tokens and words as above."""
+        h, raw, slot, tokens, word = self.words(text)
         n = len(h) - WIDTH + 1
         if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.uint64), slot, tokens, word
-        rolled = np.zeros(n, np.uint64)
-        for i in range(WIDTH):
-            rolled = (rolled ^ (rolled >> np.uint64(29))) * MULTIPLY + h[i : i + n]
-        rolled = (rolled ^ (rolled >> np.uint64(32))) * MIX
-        rolled ^= rolled >> np.uint64(32)
+            return np.empty(0, np.int64), np.empty(0, np.uint64), 0, slot, tokens, word
         plain = np.concatenate([[0], np.cumsum(~slot)])
-        good = np.flatnonzero(plain[WIDTH:] - plain[:-WIDTH] >= PLAIN)
-        return good, rolled[good], slot, tokens, word
+        specific = plain[WIDTH:] - plain[:-WIDTH] >= PLAIN
+        good, rest = np.flatnonzero(specific), np.flatnonzero(~specific)
+        return np.concatenate([good, rest]), np.concatenate([_rolled(h, n, 0)[good], _rolled(raw, n, EXACT, rest)]), len(good), slot, tokens, word
+
+
+def _rolled(h: np.ndarray, n: int, seed: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the windows of words h, of all n or of those that start at some places."""
+    rolled = np.full(n if at is None else len(at), seed, np.uint64)
+    for i in range(WIDTH):
+        rolled = (rolled ^ (rolled >> np.uint64(29))) * MULTIPLY + (h[i : i + n] if at is None else h[at + i])
+    rolled = (rolled ^ (rolled >> np.uint64(32))) * MIX
+    return rolled ^ (rolled >> np.uint64(32))
 
 
 def windows(texts: DataFrame, table: np.ndarray | None) -> DataFrame:
-    """Rows (k, h, p, gram, slots, n) of the windows of texts (k, h, text); with a bit table only those in it."""
-    fields = [*texts.schema.fields[:2], T.StructField("p", T.LongType()), T.StructField("gram", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("n", T.LongType())]
+    """Rows (k, h, p, gram, slots, n, extra) of the windows of texts (k, h, text); with a bit table only those in it. n windows make up the text, extra ones only lengthen runs."""
+    fields = [*texts.schema.fields[:2], T.StructField("p", T.LongType()), T.StructField("gram", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("n", T.LongType()), T.StructField("extra", T.BooleanType())]
     sent = texts.sparkSession.sparkContext.broadcast(table)
     kept: dict = {}
 
@@ -112,29 +124,76 @@ def windows(texts: DataFrame, table: np.ndarray | None) -> DataFrame:
         bits = sent.value
         for whole in batches:
             for batch in arrow_pieces(whole):
-                rows, ps, grams, slots, ns = [], [], [], [], []
+                rows, ps, grams, slots, ns, extras = [], [], [], [], [], []
                 for i, t in enumerate(batch.column(2).to_pylist()):
-                    p, g, slot, tokens, word = canon.windows(t or "")
-                    total = len(p)
+                    p, g, specific, slot, tokens, word = canon.windows(t or "")
+                    total = specific or len(p)
+                    extra = np.arange(len(p)) >= total
                     if bits is not None and total:
                         low = (g & np.uint64((1 << BITS) - 1)).astype(np.int64)
                         inside = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
-                        p, g = p[inside], g[inside]
+                        p, g, extra = p[inside], g[inside], extra[inside]
                     for start in p.tolist():
                         rows.append(i)
                         slots.append([tokens[word[j]].lower() if slot[j] else "" for j in range(start, start + WIDTH)])
                         ns.append(total)
                     ps += p.tolist()
                     grams += g.view(np.int64).tolist()
+                    extras += extra.tolist()
                 take = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(ps, pa.int64()), pa.array(grams, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(ns, pa.int64())],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(ps, pa.int64()), pa.array(grams, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(ns, pa.int64()), pa.array(extras, pa.bool_())],
                     [f.name for f in fields],
                 )
 
     return texts.mapInArrow(releasing(run), T.StructType(fields))
 
 
+def _evidence(hits: list[dict]) -> tuple[list[int], bool]:
+    """Of the hits of a document and an item on one diagonal: the item's windows that count, and whether a run is long enough."""
+    values = {f["w"]: (f["b"], f["d"]) for x in hits for f in x["fills"]}
+    whole = {(f["b"], f["d"]) for x in hits if not x["extra"] for f in x["fills"]}
+    counted = {x["q"] for x in hits if not x["extra"]} if len({b for b, _ in whole}) == len(whole) else set()
+    ends, runs = [], []
+    for lo, hi in sorted((x["q"], x["q"] + WIDTH) for x in hits):
+        if ends and lo <= ends[-1][1]:
+            ends[-1][1] = max(hi, ends[-1][1])
+        else:
+            ends.append([lo, hi])
+    for lo, hi in ends:  # the longest consistent run up to every word
+        start, agree, fill, times = lo, 0, {}, Counter()
+        for w in range(lo, hi):
+            b, d = values.get(w, ("", ""))
+            while b and times[b] and fill[b] != d:
+                old, new = values.get(start, ("", ""))
+                times[old] -= 1
+                agree -= old == new
+                start += 1
+            fill[b] = d
+            times[b] += 1
+            agree += b == d
+            if agree >= RUN:
+                if runs and runs[-1][0] == start:
+                    runs[-1][1] = w + 1
+                else:
+                    runs.append([start, w + 1])
+    counted |= {x["q"] for x in hits if not x["extra"] and any(lo <= x["q"] and x["q"] + WIDTH <= hi for lo, hi in runs)}
+    return sorted(counted), bool(runs)
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the column hits by qs, first and long."""
+    for batch in batches:
+        at = batch.schema.get_field_index("hits")
+        found = [_evidence(x) for x in batch.column(at).to_pylist()]
+        first = [min(x["q"] for x in hits) if not qs else qs[0] for hits, (qs, _) in zip(batch.column(at).to_pylist(), found)]
+        rest = [i for i in range(batch.num_columns) if i != at]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i) for i in rest), pa.array([qs for qs, _ in found], pa.list_(pa.int64())), pa.array(first, pa.int64()), pa.array([x for _, x in found], pa.bool_())],
+            [*(batch.schema.names[i] for i in rest), "qs", "first", "long"],
+        )
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document (id and text) and leaked item: key, text_hash, item, n_windows, coverage, first_word."""
     asked = benchmark.select(F.col(item).alias("k"), text_hash(item_text).alias("h"), F.col(item_text).alias("text"))
@@ -143,17 +202,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     table = np.zeros(1 << (BITS - 3), np.uint8)
     np.bitwise_or.at(table, lows >> 3, (1 << (lows & 7)).astype(np.uint8))
     found = windows(docs.select(F.col(key).alias("k"), text_hash(text).alias("h"), F.col(text).alias("text")), table)
-    items = bounded_broadcast(asked, 200_000).select(F.col("k").alias("item"), F.col("h").alias("ih"), F.col("p").alias("q"), "gram", F.col("slots").alias("item_slots"), F.col("n").alias("item_n"))
-    hits = found.drop("n").join(items, "gram")
-    filled = F.filter(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda x: (x.b != "") | (x.d != ""))
-    diagonals = hits.groupBy("k", "h", "item", "ih", "item_n", (F.col("p") - F.col("q")).alias("diagonal")).agg(
-        F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("pairs"), F.min("p").alias("first")
-    )
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x.b))) == F.size("pairs")
+    items = bounded_broadcast(asked, 200_000).select(F.col("k").alias("item"), F.col("h").alias("ih"), F.col("p").alias("q"), "gram", F.col("slots").alias("item_slots"), F.col("n").alias("item_n"), "extra")
+    hits = found.drop("n", "extra").join(items, "gram")
+    zipped = F.transform(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda x, i: F.struct((F.col("q") + i).alias("w"), x.b.alias("b"), x.d.alias("d")))
+    filled = F.filter(zipped, lambda x: (x.b != "") | (x.d != ""))
+    diagonals = hits.groupBy("k", "h", "item", "ih", "item_n", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set(F.struct("q", "extra", filled.alias("fills"))).alias("hits"))
+    kinds = [*diagonals.schema.fields[:-1], T.StructField("qs", T.ArrayType(T.LongType())), T.StructField("first", T.LongType()), T.StructField("long", T.BooleanType())]
+    weighed = diagonals.mapInArrow(releasing(_weigh), T.StructType(kinds)).where((F.size("qs") > 0) | F.col("long"))
     share = F.size(F.array_distinct(F.flatten(F.collect_list("qs"))))
-    leaks = diagonals.where(consistent).groupBy("k", "h", "item", "ih", "item_n").agg(share.cast("long").alias("n_windows"), F.min("first").alias("first_word"))
+    leaks = weighed.groupBy("k", "h", "item", "ih", "item_n").agg(share.cast("long").alias("n_windows"), F.min(F.col("first") + F.col("diagonal")).alias("first_word"), F.max("long").alias("long"))
     coverage = F.col("n_windows") / F.col("item_n")
-    return leaks.where(coverage >= COVERED).select(F.col("k").alias(key), F.col("h").alias("text_hash"), F.col("item").alias(item), "n_windows", coverage.alias("coverage"), "first_word")
+    return leaks.where((coverage >= COVERED) | F.col("long")).select(F.col("k").alias(key), F.col("h").alias("text_hash"), F.col("item").alias(item), "n_windows", coverage.alias("coverage"), "first_word")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -319,6 +319,20 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_long_passages(spark):
+    rng = random.Random(12)
+    item = [f"{w}{i}".translate(str.maketrans("0123456789", "abcdefghij")) for i, w in enumerate(prose(rng, 60).split())]
+    mixed = [*item[:20], "120", "km", "in", "7", "hours", *item[20:50], "120", *item[50:]]
+    dense = "on 3 5 of 7 9 and 11 13 or 15 17 to 19 21 by 23 25".split()
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(mixed)), (2, " ".join([*dense, *mixed[::-1]]))], "item_id long, text string")
+    changed = " ".join(mixed).replace("120 km", "75 km", 1)  # 120 is 75 here and 120 there, so the diagonal is inconsistent
+    fill = prose(rng, 40)
+    texts = [f"{fill} {' '.join(item[5:33])} {fill}", " ".join(item[7:20]), " ".join(item[8:20]), changed, f"{fill} {' '.join(dense)} {fill}", " ".join(dense).replace("11", "12").replace("17", "18")]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, texts), bench).collect()}
+    assert found >= {(0, 0), (1, 0), (3, 1), (4, 2)} and not {d for d, _ in found} & {2, 5}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(frame(spark, texts), bench).collect()) == [2, 5]
+
+
 def test_quality(spark):
     rng = random.Random(11)
     rows, labels = [], []
