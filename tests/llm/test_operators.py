@@ -159,6 +159,30 @@ def test_secrets_in_repeated_layers(inner):
     assert secret_scan.redacted(text) == "a [REDACTED] b\n[REDACTED] c [REDACTED]"
 
 
+@pytest.mark.parametrize("junk", [b"\0", b"\x1b[0m", b"\xef\xbb\xbf", b"\xe2\x80\x8d", b"caf\xe9 ", b"\xff\xfe\x80"])
+def test_secrets_beside_other_bytes(junk):
+    for data in (junk + b"password=abcdefghijkl9", b"password=abcdefghijkl9 " + junk, junk + "password=abcdefghijkl9".encode("utf-16-le"), "password=abcdefghijkl9".encode("utf-16-be"), gzip.compress(junk + b" token=abcdefghijklmno")):
+        blob = base64.b64encode(data).decode()
+        assert secret_scan.redacted(f"a {blob} b") == "a [REDACTED] b"
+
+
+@pytest.mark.parametrize("width,end", [(64, "\n"), (76, "\r\n"), (61, "\n    ")])
+def test_secrets_in_wrapped_layers(width, end):
+    rng = random.Random(width)
+    plain = (prose(rng, 12) + " ").encode()
+    for before in ("see: ", "A plain-line-of-many-words\n", "-----BEGIN CERTIFICATE-----\n"):
+        for k in range(30, 60):  # the secret lies across a break
+            data = plain[:k].ljust(k, b" ") + b" password=abcdefghijkl9 " + plain
+            blob = base64.b64encode(data).decode()
+            lines = [blob[i : i + width] for i in range(0, len(blob), width)]
+            got = secret_scan.redacted(before + end.join(lines) + "\nend")
+            assert got.startswith(before) and "[REDACTED]" in got
+            assert not any(x in got for x in lines[(k + 1) * 4 // 3 // width : (k + 22) * 4 // 3 // width + 1])
+        zipped = base64.b64encode(gzip.compress(prose(rng, 200).encode() + b" password=abcdefghijkl9 ")).decode()
+        text = before + end.join(zipped[i : i + width] for i in range(0, len(zipped), width))
+        assert [k for _, k, _ in secret_scan.all_spans(text)[1]] == ["zip.assign"]
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     texts, labels = [], []
