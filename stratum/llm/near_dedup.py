@@ -7,33 +7,44 @@ the shingle's weight is kept. Cells of rank are opened until all coordinates are
 hash per shingle and not one per coordinate. Two texts agree on a coordinate with their Jaccard similarity.
 
 1. Texts with equal shingle sets are one class; one representative goes on, however many copies there are.
-2. Coordinates are cut into bands; a band's hash is a bucket. Each bucket's hub is its member with the most
-   neighbours; every member is compared with its hubs, exactly, by their shingle sets.
+2. Coordinates are cut into bands; a band's hash is a bucket. Only (bucket, representative, size) is dealt by bucket.
+   Each bucket's hub is its member with the most neighbours; every member whose size allows it is compared with its
+   hubs, exactly, by their shingle sets.
 3. Connected representatives get one label (alternating hub steps until nothing changes).
 4. In buckets that still hold several labels, members besides the hub are compared with one another in blocks, as
    matrix products, each pair in the first bucket that it shares, those of the bucket's most frequent label only
    with the others; a block gives at most one link per member that joins two labels. So no link that the bands show is lost and no list of all pairs is ever written.
 
-Cases: null, empty and blank texts belong to no group and stay; a text of signs alone is one shingle; repeated rows are copies; ids may be null.
+Who meets whom (2 and 4) is worked out with ids alone. Then the texts are read again, and each shingle set goes
+straight to the groups that wait for it, through one shuffle; sets are never stored. Members of one hub are dealt to
+lanes of LANE members, each with its own copy of the hub's set, and blocks hold about BLOCK members a side, so no task
+grows with a group. Joins by bucket deal buckets of over HOT members by broadcast (there are at most rows / HOT of
+them); other joins leave skewed keys to adaptive execution.
+
+Cases: null, empty and blank texts belong to no group and stay; a text of signs alone is one shingle; repeated rows are
+copies; ids may be null; a very long text costs in proportion to its words; an empty table gives no rows; extra columns
+are ignored, or kept by drop_near_duplicates(), whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_pieces, bounded_broadcast, discard, fresh, materialize, releasing, text_hash
 
 WORD = re.compile(r"\w+")
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
-BLOCK = 192
+#: Members of a side of a block; of a lane of a hub; of a bucket that joins by broadcast.
+BLOCK, LANE, HOT = 192, 2000, 100_000
 REMEMBERED = 200_000
 U = np.uint64
 GOLD, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -128,7 +139,7 @@ def set_id(shingles: np.ndarray, counts: np.ndarray | None = None) -> bytes:
 
 
 def signatures(docs: DataFrame, key: str, text: str, weighted: bool) -> DataFrame:
-    """Per row: id, h (text hash), rid (id of the shingle set, null for null and blank texts), bands."""
+    """Per row: id, h (text hash), rid (id of the shingle set, null for null and blank texts), n (its size), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -144,27 +155,33 @@ def signatures(docs: DataFrame, key: str, text: str, weighted: bool) -> DataFram
                 doc = np.repeat(np.arange(len(sets)), sizes)
                 sig = dart_minhash(np.concatenate(sets), doc, len(sets), BANDS * ROWS, np.concatenate(weights).astype(np.float64) if weighted else None)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_hashes(sig).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rids, pa.binary()), bands], ["id", "h", "rid", "bands"])
+                n = pa.array([int(c.sum()) for c in weights] if weighted else sizes, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rids, pa.binary()), n, bands], ["id", "h", "rid", "n", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), text_hash(text).alias("h"), F.col(text).alias("text"))
-    return rows.mapInArrow(releasing(run), f"id {kind}, h long, rid binary, bands array<long>")
+    return rows.mapInArrow(releasing(run), f"id {kind}, h long, rid binary, n long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, weighted: bool) -> DataFrame:
-    """(rid, set, weights) of the wanted representatives: rows (h, rid) that name texts by hash."""
+def send_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, weighted: bool) -> DataFrame:
+    """Every shingle set where it is waited for: the columns of the table wanted (id, h, rid, targets: array of structs) with
+    the fields of each target in place of targets, and s and c, the set and its weights."""
+    rest = [f for f in wanted.schema.fields if f.name not in ("id", "h")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for whole in batches:
             for batch in arrow_pieces(whole, 2 << 20):
-                found = [shingles.of(t or "", True) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([c.astype(np.float32).tobytes() if weighted else b"" for _, c in found], pa.binary())], ["rid", "s", "c"]
-                )
+                found = [shingles.of(t or "", True) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                s = pa.array([x.tobytes() for x, _ in found], pa.binary())
+                c = pa.array([w.astype(np.float32).tobytes() if weighted else b"" for _, w in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s, c], [*batch.schema.names[:-1], "s", "c"])
 
-    rows = docs.select(text_hash(text).alias("h"), F.col(text).alias("text")).join(bounded_broadcast(wanted), "h").select("rid", "text")
-    return rows.mapInArrow(releasing(run), "rid binary, s binary, c binary").groupBy("rid").agg(F.first("s").alias("s"), F.first("c").alias("c"))
+    texts = docs.select(F.col(key).alias("doc_key"), text_hash(text).alias("doc_hash"), F.col(text).alias("text"))
+    wanted = bounded_broadcast(wanted)
+    rows = texts.join(wanted, (F.col("doc_hash") == F.col("h")) & F.col("doc_key").eqNullSafe(F.col("id"))).select(*(f.name for f in rest), "text")
+    schema = T.StructType([*rest, T.StructField("s", T.BinaryType()), T.StructField("c", T.BinaryType())])
+    return rows.mapInArrow(releasing(run), schema).withColumn("target", F.explode("targets")).drop("targets").select("*", "target.*").drop("target")
 
 
 def similarity(a: bytes, b: bytes, ca: bytes, cb: bytes) -> float:
@@ -179,22 +196,28 @@ def similarity(a: bytes, b: bytes, ca: bytes, cb: bytes) -> float:
     return common / (len(x) + len(y) - common)
 
 
-def verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The edges (a, b) whose sets are similar enough."""
-    one = sets.select(F.col("rid").alias("a"), F.col("s").alias("sa"), F.col("c").alias("wa"), F.octet_length("s").alias("na"))
-    two = sets.select(F.col("rid").alias("b"), F.col("s").alias("sb"), F.col("c").alias("wb"), F.octet_length("s").alias("nb"))
+def star_links(docs: DataFrame, edges: DataFrame, reps: DataFrame, keep: Callable, key: str, text: str, least: float, weighted: bool) -> DataFrame:
+    """The edges (rid, hub, size: of the bucket) whose sets are similar enough, as (a, b)."""
+    lanes = edges.select("rid", "hub", F.pmod(F.xxhash64("rid", F.lit(3)), F.ceil(F.col("size") / LANE)).alias("lane"))
+    hubs = lanes.select(F.col("hub").alias("rid"), F.struct("hub", "lane", F.lit(0).alias("side")).alias("target")).distinct()
+    each = lanes.select("rid", F.struct("hub", "lane", F.lit(1).alias("side")).alias("target")).union(hubs)
+    wanted = keep(each.groupBy("rid").agg(F.collect_list("target").alias("targets")).join(reps.select("rid", "h", "id"), "rid"))
+    sent = send_sets(docs, wanted, key, text, weighted).repartition("hub", "lane").sortWithinPartitions("hub", "lane", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, sa, wa, b, sb, wb = (batch.column(i) for i in range(6))
-            good = [similarity(sa[i].as_py(), sb[i].as_py(), wa[i].as_py(), wb[i].as_py()) >= least for i in range(batch.num_rows)]
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+        hub, hub_set, hub_weights = None, b"", b""
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch, a, b = whole.slice(start, 256), [], []
+                for r in batch.to_pylist():
+                    if r["side"] == 0:
+                        hub, hub_set, hub_weights = r["hub"], r["s"], r["c"]
+                    elif r["hub"] == hub and similarity(r["s"], hub_set, r["c"], hub_weights) >= least:
+                        a.append(r["rid"])
+                        b.append(hub)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    joined = edges.join(one, "a").join(two, "b")
-    # without weights a pair whose sizes differ too much can't be similar
-    near = (F.octet_length("wa") > 0) | (F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    return joined.where(near).select("a", "sa", "wa", "b", "sb", "wb").mapInArrow(releasing(run), "a binary, b binary")
+    return sent.select("hub", "lane", "side", "rid", "s", "c").mapInArrow(releasing(run), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -276,8 +299,8 @@ def _block_links(rid: list, label: np.ndarray, bands: np.ndarray, band: int, sid
     return links
 
 
-def residual_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between labels within buckets: members (bucket, band, rid, label, bands, top, n_top, n_rest).
+def residual_links(docs: DataFrame, members: DataFrame, reps: DataFrame, keep: Callable, key: str, text: str, least: float, weighted: bool) -> DataFrame:
+    """Links (a, b) between labels within buckets: members (bucket, rid, label, top, n_top, n_rest).
 
     Members with their bucket's most frequent label (top) stand in blocks of their own and meet the other blocks only.
     """
@@ -288,16 +311,19 @@ def residual_links(members: DataFrame, sets: DataFrame, least: float) -> DataFra
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(is_top, common).otherwise(F.lit(0)), common + rest - 1)))
     rows = rows.select(
         F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"),
-        "band", F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
-        "rid", F.xxhash64("label").alias("label"), "bands",
+        "bucket", F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "rid", "label",
     )
     # a block whose members all have one label has nothing to compare
     open_blocks = rows.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g")
-    rows = rows.join(open_blocks, "g").join(sets, "rid")
-    rows = rows.repartition("g").sortWithinPartitions("g").select("g", "band", "side", "rid", "label", "bands", "s", "c")
+    rows = rows.join(open_blocks, "g")
+    each = rows.groupBy("rid", "label").agg(F.collect_list(F.struct("g", "bucket", "side")).alias("targets"))
+    wanted = keep(each.join(reps.select("rid", "h", "id", "bands"), "rid").withColumn("label", F.xxhash64("label")))
+    sent = send_sets(docs, wanted, key, text, weighted).withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1)
+    rows = sent.repartition("g").sortWithinPartitions("g").select("g", "band", "side", "rid", "label", "bands", "s", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list = []
+        met: set = set()  # repeated rows of one id and text come more than once
 
         def flush() -> pa.RecordBatch:
             weights = [r["c"] for r in waiting]
@@ -313,41 +339,63 @@ def residual_links(members: DataFrame, sets: DataFrame, least: float) -> DataFra
                     if waiting and waiting[0]["g"] != r["g"]:
                         yield flush()
                         waiting.clear()
-                    waiting.append(r)
+                        met.clear()
+                    if r["rid"] not in met:
+                        met.add(r["rid"])
+                        waiting.append(r)
         if waiting:
             yield flush()
 
     return rows.mapInArrow(releasing(run), "a binary, b binary")
 
 
+def by_bucket(left: DataFrame, right: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """left joined with right, which has one row for each bucket, with the hot buckets dealt by broadcast."""
+    if hot is None:
+        return left.join(right, "bucket")
+    few = F.broadcast(hot)
+    usual = left.join(few, "bucket", "left_anti").join(right, "bucket")
+    return usual.unionByName(left.join(F.broadcast(right.join(few, "bucket", "left_semi")), "bucket"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR, weighted: bool = False) -> DataFrame:
-    """Per row: id, h (text hash), class_id (the smallest id of its group)."""
-    rows = materialize(signatures(docs, key, text, weighted))
-    reps = rows.where("rid IS NOT NULL").groupBy("rid").agg(F.min(F.struct("h", "bands")).alias("x")).select("rid", "x.h", "x.bands")
-    exploded = reps.select("rid", "h", "bands", F.posexplode("bands").alias("band", "bucket"))
-    sizes = exploded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(exploded.join(sizes, "bucket"))
+    """Per row: id, h (text hash), class_id (the smallest id of its group), label (null for texts without words)."""
+    spent = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        spent.append(materialize(df))
+        return spent[-1]
+
+    rows = keep(signatures(docs, key, text, weighted))
+    reps = rows.where("rid IS NOT NULL").groupBy("rid").agg(F.min(F.struct("h", "id")).alias("x"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = keep(reps.select("rid", "x.h", "x.id", "n", "bands"))
+    pairs = reps.select("rid", "n", F.explode("bands").alias("bucket"))
+    sizes = keep(pairs.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    hot = sizes.where(F.col("size") > HOT).select("bucket")
+    hot = hot if hot.limit(1).count() else None
+    members = keep(by_bucket(pairs, bounded_broadcast(sizes), hot))
     degree = members.groupBy("rid").agg(F.sum("size").alias("degree"))
-    ranked = members.select("bucket", "rid").join(degree, "rid")
-    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "rid")).alias("x")).select("bucket", F.col("x.rid").alias("hub"))
-    hubs = materialize(hubs)
-    edges = members.join(hubs, "bucket").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
-    sets = materialize(shingle_sets(docs, materialize(members.select("h", "rid").distinct()), text, weighted))
-    edges = materialize(verified(edges, sets, least))
+    ranked = members.select("bucket", "rid", "n").join(degree, "rid")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "rid", "n")).alias("x")).select("bucket", F.col("x.rid").alias("hub"), F.col("x.n").alias("hub_n"))
+    others = by_bucket(members, bounded_broadcast(keep(hubs)), hot).where("rid <> hub")
+    # a pair whose sizes differ too much can't be similar
+    edges = others.where(F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")).groupBy("rid", "hub").agg(F.max("size").alias("size"))
+    edges = keep(star_links(docs, edges, reps, keep, key, text, least, weighted))
     labels = components(edges)
-    rest = members.join(hubs, "bucket").where("rid <> hub").drop("hub", "h")
-    rest = rest.join(labels, F.col("rid") == F.col("v"), "left").select("bucket", "band", "rid", "bands", F.coalesce("label", "rid").alias("label"))
-    rest = materialize(rest)
+    spent.append(labels)
+    rest = others.join(labels, F.col("rid") == F.col("v"), "left").select("bucket", "rid", F.coalesce("label", "rid").alias("label"))
+    rest = keep(rest)
     by_label = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     top = F.max_by("label", F.struct("n", "label")).alias("top")
     unsure = by_label.groupBy("bucket").agg(top, F.max("n").alias("n_top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    unsure = bounded_broadcast(materialize(unsure.select("bucket", "top", "n_top", (F.col("n") - F.col("n_top")).alias("n_rest"))))
-    more = residual_links(rest.join(unsure, "bucket"), sets, least)
+    unsure = bounded_broadcast(keep(unsure.select("bucket", "top", "n_top", (F.col("n") - F.col("n_top")).alias("n_rest"))))
+    more = residual_links(docs, by_bucket(rest, unsure, hot), reps, keep, key, text, least, weighted)
     labels = components(edges.union(more))
-    discard(sets)
-    rows = rows.select("id", "h", "rid")
-    named = rows.join(labels, F.col("rid") == F.col("v"), "left").select("id", "h", "rid", F.coalesce("label", "rid").alias("label"))
+    spent.append(labels)
+    named = rows.select("id", "h", "rid").join(labels, F.col("rid") == F.col("v"), "left").select("id", "h", F.coalesce("label", "rid").alias("label"))
     named = materialize(named)
+    for table in spent:
+        discard(table)
     smallest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least_id"), F.count("*").alias("n")).where("n > 1").select("label", "least_id")
     return named.join(smallest, "label", "left").select("id", "h", F.when(F.col("least_id").isNull(), F.col("id")).otherwise(F.col("least_id")).alias("class_id"), "label")
 

@@ -299,14 +299,31 @@ def test_near_duplicates_repeated_rows(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, t[0]), (1, t[1]), (None, None), (None, None)])
 
 
-def test_block_links_match_all_pairs(spark, copies, monkeypatch):
-    """With tiny blocks the comparison within buckets still finds every link."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+@pytest.mark.parametrize("block,lane,hot", [(6, 2, 3), (192, 2000, 1), (6, 2000, 100_000)])
+def test_small_limits_lose_no_link(spark, copies, monkeypatch, block, lane, hot):
+    """With tiny blocks and lanes and every bucket hot, all links are still found."""
+    for name, value in zip(("BLOCK", "LANE", "HOT"), (block, lane, hot)):
+        monkeypatch.setattr(near_dedup, name, value)
     ids = list(range(len(copies)))
     got = {r.id: r.class_id for r in near_dedup.near_duplicates(frame(spark, copies)).collect()}
     assert [got[i] for i in ids] == plain_groups(ids, copies)
 
 
+def test_one_hot_bucket_of_distinct_texts(spark, monkeypatch):
+    """Texts that share a long passage fill the same buckets; only those that are similar enough are linked."""
+    for name, value in (("BLOCK", 8), ("LANE", 5), ("HOT", 10)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(14)
+    passage, texts = prose(rng, 120), []
+    for k in range(90):
+        own = prose(rng, 22)
+        texts += [f"{passage} {own}"] + ([f"{passage} {own} x{k}"] if k % 9 == 0 else [])
+    ids = list(range(len(texts)))
+    got = {r.id: r.class_id for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    want = plain_groups(ids, texts)
+    assert [got[i] for i in ids] == want and 70 < len(set(want)) < len(texts)
+
+
 @pytest.mark.parametrize("n,same", [(10, 5), (200, 150), (5000, 4000)])
 def test_darts_estimate_jaccard(n, same):
     found = []
