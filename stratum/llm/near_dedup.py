@@ -18,8 +18,8 @@ hash per shingle and not one per coordinate. Two texts agree on a coordinate wit
 Who meets whom (2 and 4) is worked out with ids alone. Then the texts are read again, and each shingle set goes
 straight to the groups that wait for it, through one shuffle; sets are never stored. Members of one hub are dealt to
 lanes of LANE members, each with its own copy of the hub's set, and blocks hold about BLOCK members a side, so no task
-grows with a group. Joins by bucket deal buckets of over HOT members by broadcast (there are at most rows / HOT of
-them); other joins leave skewed keys to adaptive execution.
+grows with a group. Joins by bucket, shingle set and group deal keys of over HOT rows by broadcast (there are at most
+rows / HOT of them); the steps of 3 leave skewed vertices to adaptive execution.
 
 Cases: null, empty and blank texts belong to no group and stay; a text of signs alone is one shingle; repeated rows are
 copies; ids may be null; a very long text costs in proportion to its words; an empty table gives no rows; extra columns
@@ -349,17 +349,24 @@ def residual_links(docs: DataFrame, members: DataFrame, reps: DataFrame, keep: C
     return rows.mapInArrow(releasing(run), "a binary, b binary")
 
 
-def by_bucket(left: DataFrame, right: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """left joined with right, which has one row for each bucket, with the hot buckets dealt by broadcast."""
+def hot_keys(df: DataFrame, rows: str, key: str) -> DataFrame | None:
+    """Keys that more than HOT rows have, if any: there can't be more of them than all rows / HOT."""
+    found = df.where(F.col(rows) > HOT).select(key)
+    return found if found.limit(1).count() else None
+
+
+def by_key(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key, with the hot keys dealt by broadcast."""
     if hot is None:
-        return left.join(right, "bucket")
+        return left.join(right, key, how)
     few = F.broadcast(hot)
-    usual = left.join(few, "bucket", "left_anti").join(right, "bucket")
-    return usual.unionByName(left.join(F.broadcast(right.join(few, "bucket", "left_semi")), "bucket"))
+    usual = left.join(few, key, "left_anti").join(right, key, how)
+    return usual.unionByName(left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR, weighted: bool = False) -> DataFrame:
-    """Per row: id, h (text hash), class_id (the smallest id of its group), label (null for texts without words)."""
+    """Per row: id, h (text hash), class_id (the smallest id of its group), label (null for texts without words),
+    first (whether it is its group's smallest id, and text hash of these; null without a group)."""
     spent = []
 
     def keep(df: DataFrame) -> DataFrame:
@@ -367,17 +374,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         return spent[-1]
 
     rows = keep(signatures(docs, key, text, weighted))
-    reps = rows.where("rid IS NOT NULL").groupBy("rid").agg(F.min(F.struct("h", "id")).alias("x"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = keep(reps.select("rid", "x.h", "x.id", "n", "bands"))
+    reps = rows.where("rid IS NOT NULL").groupBy("rid").agg(F.min(F.struct("h", "id")).alias("x"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    reps = keep(reps.select("rid", "x.h", "x.id", "n", "bands", "copies"))
     pairs = reps.select("rid", "n", F.explode("bands").alias("bucket"))
     sizes = keep(pairs.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    hot = sizes.where(F.col("size") > HOT).select("bucket")
-    hot = hot if hot.limit(1).count() else None
-    members = keep(by_bucket(pairs, bounded_broadcast(sizes), hot))
+    hot = hot_keys(sizes, "size", "bucket")
+    members = keep(by_key(pairs, bounded_broadcast(sizes), "bucket", hot))
     degree = members.groupBy("rid").agg(F.sum("size").alias("degree"))
     ranked = members.select("bucket", "rid", "n").join(degree, "rid")
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "rid", "n")).alias("x")).select("bucket", F.col("x.rid").alias("hub"), F.col("x.n").alias("hub_n"))
-    others = by_bucket(members, bounded_broadcast(keep(hubs)), hot).where("rid <> hub")
+    others = by_key(members, bounded_broadcast(keep(hubs)), "bucket", hot).where("rid <> hub")
     # a pair whose sizes differ too much can't be similar
     edges = others.where(F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")).groupBy("rid", "hub").agg(F.max("size").alias("size"))
     edges = keep(star_links(docs, edges, reps, keep, key, text, least, weighted))
@@ -389,24 +395,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     top = F.max_by("label", F.struct("n", "label")).alias("top")
     unsure = by_label.groupBy("bucket").agg(top, F.max("n").alias("n_top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     unsure = bounded_broadcast(keep(unsure.select("bucket", "top", "n_top", (F.col("n") - F.col("n_top")).alias("n_rest"))))
-    more = residual_links(docs, by_bucket(rest, unsure, hot), reps, keep, key, text, least, weighted)
+    more = residual_links(docs, by_key(rest, unsure, "bucket", hot), reps, keep, key, text, least, weighted)
     labels = components(edges.union(more))
     spent.append(labels)
-    named = rows.select("id", "h", "rid").join(labels, F.col("rid") == F.col("v"), "left").select("id", "h", F.coalesce("label", "rid").alias("label"))
-    named = materialize(named)
+    named = by_key(rows.select("id", "h", "rid"), labels.withColumnRenamed("v", "rid"), "rid", hot_keys(reps, "copies", "rid"), "left")
+    named = materialize(named.select("id", "h", F.coalesce("label", "rid").alias("label")))
     for table in spent:
         discard(table)
-    smallest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least_id"), F.count("*").alias("n")).where("n > 1").select("label", "least_id")
-    return named.join(smallest, "label", "left").select("id", "h", F.when(F.col("least_id").isNull(), F.col("id")).otherwise(F.col("least_id")).alias("class_id"), "label")
+    smallest = materialize(named.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    named = by_key(named, smallest.drop("n"), "label", hot_keys(smallest, "n", "label"), "left")
+    first = F.when(F.col("first").isNotNull(), F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")))
+    class_id = F.when(F.col("least_id").isNull(), F.col("id")).otherwise(F.col("least_id"))
+    return named.select("id", "h", class_id.alias("class_id"), "label", first.alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """One document of each group, the one of smallest id (and text hash), all columns; null and blank texts stay."""
     found = near_duplicates(docs, key, text, least)
-    kept = F.min(F.struct("id", "h")).alias("first")
-    firsts = found.where("label IS NOT NULL").groupBy("label").agg(kept, F.count("*").alias("n")).where("n > 1")
-    grouped = found.join(firsts, "label").select("id", "h", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))).alias("first"))
-    grouped = materialize(grouped.groupBy("id", "h").agg(F.max("first").alias("first"), F.count("*").alias("n")))
+    grouped = materialize(found.where("first IS NOT NULL").groupBy("id", "h").agg(F.max("first").alias("first"), F.count("*").alias("n")))
     (h,) = fresh(docs, "text_hash")
     marked = docs.withColumn(h, text_hash(text))
     gone = bounded_broadcast(grouped.where("NOT first OR n > 1").select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h")))
