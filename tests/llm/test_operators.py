@@ -1,14 +1,16 @@
 """Each operator on small tables with awkward rows, against plain versions of the same definition."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
-from urllib.parse import quote
+from urllib.parse import quote, quote_plus
 
 import numpy as np
 import public_tokenizers
@@ -183,6 +185,82 @@ def test_secrets_in_wrapped_layers(width, end):
         assert [k for _, k, _ in secret_scan.all_spans(text)[1]] == ["zip.assign"]
 
 
+SECRET = b" password=abcdefghijkl9 "
+
+
+def deflated(data):
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return c.compress(data) + c.flush()
+
+
+PACKERS = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "members": lambda d: gzip.compress(b"first") + gzip.compress(d), "bz2 members": lambda d: bz2.compress(b"a") + bz2.compress(d)}
+
+
+@pytest.mark.parametrize("packer", [*PACKERS, "raw", "tail", "head", "cut"])
+def test_secrets_in_compressed_layers(packer):
+    rng = random.Random(packer)
+    plain = prose(rng, 300).encode()
+    ways = PACKERS | {
+        "raw": deflated, "tail": lambda d: gzip.compress(b"x") + SECRET, "head": lambda d: b"two words" + gzip.compress(d),
+        "cut": lambda d: gzip.compress(d + plain)[:-40],
+    }
+    for data in (SECRET, plain + SECRET + plain, (SECRET * 2).decode().encode("utf-16")):
+        packed = ways[packer](data)
+        blob = base64.b64encode(packed).decode()
+        spans = secret_scan.all_spans(f"é {blob} b")[1]
+        assert spans and all(2 <= s and e <= 2 + len(blob) for s, _, e in spans)
+        assert SECRET.strip().decode() not in secret_scan.redacted(f"é {blob} b")
+        if packer in PACKERS:
+            for text in (quote(packed), quote_plus(packed), "".join(f"%{b:02x}" for b in packed), repr(packed), "".join(f"\\u{b:04x}" for b in packed), packed.decode("latin-1")):
+                text = f"日本 {text} end"
+                spans = [(s, e) for s, k, e in secret_scan.all_spans(text)[1] if k == "zip.assign"]
+                assert spans and all(3 <= s and e <= len(text) - 4 for s, e in spans), (packer, text)
+
+
+def test_secrets_deep_in_large_compressed_layers(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 5000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 500)
+    rng = random.Random(21)
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    wrap = lambda data: f"see {base64.b64encode(gzip.compress(data)).decode()} end"
+    plain = prose(rng, 4000).encode()
+    for at in [*range(4950, 5050, 7), 12_000, len(plain)]:  # across the border of windows, far in, at the end
+        assert secret_scan.all_spans(wrap(plain[:at] + SECRET + plain[at:]))[1]
+    assert secret_scan.all_spans(wrap(plain + b"password" + b" " * 30_000 + b"=" + b" " * 30_000 + b"abcdefghijkl9"))[1]
+    inner = base64.b64encode(gzip.compress(noise(30_000) + SECRET))
+    for nested in (inner, b"\n".join(inner[i : i + 76] for i in range(0, len(inner), 76)), inner.translate(bytes.maketrans(b"+/", b"-_"))):
+        assert "zip.assign" in {k for _, k, _ in secret_scan.all_spans(wrap(plain + b" " + nested + b" " + plain))[1]}
+    assert secret_scan.all_spans(wrap(gzip.compress(noise(30_000) + SECRET)))[1]
+    assert secret_scan.all_spans(wrap(plain + b" " + base64.b64encode(noise(20_000))[:-2] + b"\n" + b"0123456789abcdef0" * 2 + b" "))[1]
+    assert not secret_scan.all_spans(wrap(plain * 3 + base64.b64encode(b"\0" * 40_000)))[1]
+
+
+def test_bombs_and_cycles_end(monkeypatch):
+    bomb = zlib.compress(zlib.compress(b" " * (300 << 20), 9) + b"x", 9)
+    text = "\n\n".join([base64.b64encode(bomb).decode()] * 1000) + " token=abcdefghijklmno"
+    tracemalloc.start()
+    base, more = secret_scan.all_spans(text)
+    assert len(base) == 1 and more == [] and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    again = gzip.compress(b"seed")
+
+    class Quine:
+        """Inflates to what it was given, or to ever more."""
+
+        eof, unused_data, unconsumed_tail, more = False, b"", b"", b""
+
+        def decompress(self, data, *_):
+            self.eof = True
+            Quine.opened += 1
+            return data + self.more
+
+    for more in (b"", SECRET):
+        Quine.more, Quine.opened = more, 0
+        monkeypatch.setattr(secret_scan.zlib, "decompressobj", lambda *_: Quine())
+        found = secret_scan.all_spans("a " + base64.b64encode(again).decode())[1]
+        assert Quine.opened <= (4 * secret_scan.DEPTH if more else 10) and [k for _, k, _ in found] == ["zip.assign"] * bool(more)
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     texts, labels = [], []
