@@ -4,10 +4,13 @@ A byte-level BPE splits a text into words and merges within each. For a word, th
 prefix is the one vocabulary entry that ends there and may follow the last token of what precedes it: two
 tokens may stand side by side if encoding their concatenation gives these two back. So one pass from left
 to right finds the count at each prefix from shorter prefixes. Counts of words add up, and a running sum over
-the words of a text answers how many tokens any prefix has, and where a budget ends, without encoding again.
+the words of a text with the counts at each prefix of the word that a cut falls in answers how many tokens any prefix
+has, and where a budget ends, without encoding again. A cut joins the blanks before it to one word and takes
+contractions and special strings apart; only these few characters are split anew.
 
 Cases: null and empty texts have no tokens and no bytes; special strings within a text count as one token, as
-the library does by default; rows may repeat; other columns are ignored.
+the library does by default; a very long text, or word, costs in proportion to its length; rows may repeat; an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import gc
 import json
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -36,8 +39,10 @@ WORDS_LATIN = (
     f"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
 
-#: Words a worker remembers; then it forgets all and starts anew.
-REMEMBERED = 1_000_000
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
+
+#: Words a worker remembers, and characters in them; then it forgets all and starts anew.
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 16_000_000
 
 
 class PrefixCounter:
@@ -67,6 +72,7 @@ class PrefixCounter:
         self._edges: tuple[dict, dict] = ({}, {})
         self.together: dict[int, bool] = {}
         self.counts: dict[str, int] = {}
+        self.chars = 0
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """What stands at one edge of a token (0: left, 1: right) as it is merged, and the rank that ends each."""
@@ -140,13 +146,20 @@ class PrefixCounter:
             before = word
             yield count
 
-    def word_prefixes(self, word: bytes) -> list[int]:
-        return list(next(self.prefixes([word])))
+    def word_prefixes(self, word: str) -> list[int]:
+        """The token count at each prefix of a word, by characters, the empty one first."""
+        coded = word.encode("utf-8", "surrogatepass")
+        counts = next(self.prefixes([coded]))
+        if len(coded) == len(word):
+            return counts
+        return [counts[0], *(counts[n] for n in accumulate(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in word))]
 
     def learn(self, words: set[str]) -> None:
         """Remember the counts of words."""
-        if len(self.counts) > REMEMBERED:
+        if len(self.counts) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.counts.clear()
+            self.chars = 0
+        self.chars += sum(map(len, words))
         new = sorted((w.encode("utf-8", "surrogatepass"), w) for w in words if w not in self.counts)
         for (_, w), count in zip(new, self.prefixes([b for b, _ in new])):
             self.counts[w] = count[-1]
@@ -213,31 +226,71 @@ class PrefixCounter:
         get = self.counts.__getitem__
         return [sum(map(get, chain.from_iterable(text[::2]))) + len(text) // 2 for text in split]
 
-    def count_at(self, text: str, chars: int, table: tuple[list[int], list[int]] | None = None) -> int:
-        """Tokens of text[:chars], from the table and the prefixes of the last word alone.
+    def _blanks(self, text: str, end: int, table: tuple[list[int], list[int]]) -> list[int]:
+        """The counts at each prefix that ends in the blanks before end, from the empty run of blanks on."""
+        start = end
+        while start and _blank(text[start - 1]):
+            start -= 1
+        ends, counts = table
+        k = bisect_right(ends, start)
+        before = counts[k - 1] if k else 0
+        return [before + n for n in self.word_prefixes(text[start:end])]
 
-        A cut can change how the white space or apostrophe just before it is split, so the words from the last
-        one that neither touches are split again; none is encoded again but that tail.
-        """
-        ends, counts = table or self.table(text)
-        k = bisect_right(ends, chars)
-        while k and (text[ends[k - 1] - 1 : ends[k - 1]].isspace() or text[ends[k - 1] : ends[k - 1] + 1].isspace() and text[ends[k - 1] : chars].isspace()):
-            k -= 1
+    def inside(self, text: str, k: int, table: tuple[list[int], list[int]]) -> list[int]:
+        """The counts at each prefix of the text that ends in its k-th word, the whole word included."""
+        ends, counts = table
         start, before = (ends[k - 1], counts[k - 1]) if k else (0, 0)
-        return before + self.count(text[start:chars])
+        word = text[start : ends[k]]
+        if _blank(word[-1]):
+            return self._blanks(text, ends[k], table)[-len(word) :]
+        if word in self.special:  # its parts can go on the word before it, and take one of the blanks
+            j = k
+            while j and _blank(text[ends[j - 1] - 1]):
+                j -= 1
+            j = max(0, j - 1)
+            at, before = (ends[j - 1], counts[j - 1]) if j else (0, 0)
+            return [*(before + self.count(text[at:i]) for i in range(start + 1, ends[k])), counts[k]]
+        if word in CONTRACTIONS:
+            return [*(before + self.count(word[:i]) for i in range(1, len(word))), counts[k]]
+        found = [before + n for n in self.word_prefixes(word)[1:]]
+        if len(word) > 1 and _blank(word[0]):
+            found[0] = self._blanks(text, start + 1, table)[-1]
+        return found
+
+    def every_prefix(self, text: str) -> list[int]:
+        """The token count of text[:i] for every i."""
+        table = self.table(text)
+        return [0, *chain.from_iterable(self.inside(text, k, table) for k in range(len(table[0])))]
+
+    def count_at(self, text: str, chars: int, table: tuple[list[int], list[int]] | None = None) -> int:
+        """Tokens of text[:chars], from the table and the prefixes of the word that the cut falls in."""
+        if chars <= 0:
+            return 0
+        table = table or self.table(text)
+        k = bisect_left(table[0], chars)
+        return self.inside(text, k, table)[chars - 1 - (table[0][k - 1] if k else 0)]
 
     def fit(self, text: str, budget: int) -> int:
         """The length in characters of the longest prefix of at most so many tokens."""
         table = self.table(text)
-        if not table[1] or table[1][-1] <= budget:
-            return len(text)
         ends, counts = table
+        if not counts or counts[-1] <= budget:
+            return len(text)
         k = bisect_right(counts, budget)
-        at = ends[k - 1] if k else 0
-        for chars in range(ends[min(k, len(ends) - 1)], at, -1):
-            if self.count_at(text, chars, table) <= budget:
-                return chars
-        return at
+        if k + 1 < len(ends) and _blank(text[ends[k] - 1]) and _blank(text[ends[k]]):
+            k += 1  # a cut right after its first blank joins that to the blanks before it
+        while True:  # a cut can save a token of the words before it, so the word that passes the budget can have none
+            start = ends[k - 1] if k else 0
+            found = self.inside(text, k, table)
+            fits = max((i for i, n in enumerate(found, 1) if n <= budget), default=0)
+            if fits or not k:
+                return start + fits
+            k -= 1
+
+
+def _blank(c: str) -> bool:
+    """Whether the word pattern takes a character for white space."""
+    return c.isspace() and not "\x1c" <= c <= "\x1f"
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -282,21 +335,33 @@ def token_counts(docs: DataFrame, path: str, budget: int, text: str = "text", ke
     )
 
 
-def token_table(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key, and the stored prefix table: word_ends (characters) and token_counts up to each."""
+def token_table(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", every: bool = False) -> DataFrame:
+    """Per row: key, and the stored prefix table: word_ends (characters) and token_counts up to each; with every also
+    prefix_counts, the count at each prefix of the text (element i: of i characters)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for whole in batches:
             for batch in arrow_pieces(whole, 1 << 20):
-                tables = [c.table(t or "") for t in batch.column(1).to_pylist()]
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                tables = [c.table(t) for t in texts]
                 kind = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([a for a, _ in tables], kind), pa.array([b for _, b in tables], kind)],
-                    [key, "word_ends", "token_counts"],
-                )
+                columns = [pa.array([a for a, _ in tables], kind), pa.array([b for _, b in tables], kind)]
+                if every:
+                    columns.append(pa.array([c.every_prefix(t) for t in texts], kind))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "word_ends", "token_counts", *(["prefix_counts"] if every else [])])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(
-        run, f"`{key}` {kind}, word_ends array<int>, token_counts array<int>"
+        run, f"`{key}` {kind}, word_ends array<int>, token_counts array<int>" + (", prefix_counts array<int>" if every else "")
     )
+
+
+def count_of_prefix(chars, counts: str = "prefix_counts"):
+    """Tokens of the first so many characters, from a stored table alone."""
+    return F.get(F.col(counts), F.least(F.lit(chars), F.size(counts) - 1))
+
+
+def prefix_of_budget(budget, counts: str = "prefix_counts"):
+    """Characters of the longest prefix of at most so many tokens, from a stored table alone."""
+    return F.array_max(F.filter(F.sequence(F.lit(0), F.size(counts) - 1), lambda i: F.get(F.col(counts), i) <= F.lit(budget)))

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -55,8 +56,13 @@ def test_token_counts(spark, awkward):
         table = c.table(t)
         assert [c.count_at(t, i, table) for i in range(len(t) + 1)] == counts
         assert c.fit(t, 5) == max(i for i, n in enumerate(counts) if n <= 5)
-    tables = token_counts.token_table(frame(spark, awkward), BPE).collect()
-    assert all((r.token_counts or [0])[-1] == got[r.doc_id].n_tokens for r in tables)
+    tables = token_counts.token_table(frame(spark, awkward), BPE, every=True)
+    tables = tables.select("*", token_counts.count_of_prefix(50).alias("at"), token_counts.prefix_of_budget(20).alias("fits")).collect()
+    for r in tables:
+        t = awkward[r.doc_id] or ""
+        assert (r.token_counts or [0])[-1] == got[r.doc_id].n_tokens and len(r.prefix_counts) == len(t) + 1
+        assert r["at"] == c.count(t[:50]) and r.fits == c.fit(t, 20) == got[r.doc_id].fit_chars
+    assert token_counts.token_counts(frame(spark, []), BPE, 20).count() == 0
 
 
 def test_token_counts_random_strings():
@@ -68,6 +74,33 @@ def test_token_counts_random_strings():
     assert c.count_all(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_token_counts_at_every_prefix():
+    """Of long words, runs of blanks and mixtures, against the library on every prefix."""
+    from tokenizers import Tokenizer
+
+    lib, c, rng = Tokenizer.from_file(BPE), token_counts.PrefixCounter(BPE), random.Random(7)
+    parts = ["'ll", "'", " ", "  ", "\n", "\t", "a", "the", "é", "日本", "12", "<|endoftext|>", "<|end", "?!", "\x1c", "\xa0", "İ", "'re", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(150)]
+    texts += ["".join(rng.choice("etaoins") for _ in range(300)), " " * 90 + "x", "a" * 200, "\n \n" * 40, "日本語" * 60]
+    for t in texts:
+        counts = [len(e.ids) for e in lib.encode_batch([t[:i] for i in range(len(t) + 1)], add_special_tokens=False)]
+        assert c.every_prefix(t) == counts, t
+        for budget in (1, 3, 7, 40):
+            assert c.fit(t, budget) == max(i for i, n in enumerate(counts) if n <= budget), (t, budget)
+
+
+def test_token_counts_of_a_very_long_word(spark, monkeypatch):
+    rng = random.Random(8)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    c, start = token_counts.PrefixCounter(BPE), time.time()
+    monkeypatch.setattr(token_counts, "REMEMBERED_CHARS", 2_500_000)
+    n = c.fit(word, 1024)
+    assert time.time() - start < 30 and c.count(word[:n]) <= 1024 < c.count(word[: n + 1])
+    for k in range(8):
+        c.count(word[k:])
+        assert sum(map(len, c.counts)) <= 3_500_000 + n
+
+
 def test_sentence_pieces(spark, awkward):
     from sentencepiece import SentencePieceProcessor
 
