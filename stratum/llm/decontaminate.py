@@ -6,15 +6,18 @@ those of all benchmark items. What hits on one diagonal of a document and an ite
 a value that the item repeats must be repeated by the document. An item counts as leaked if consistent diagonals
 cover at least half of its windows, so questions with other numbers and names are found too; or if a consistent run of
 matching words holds 13 or more that agree as they are (plain words, and slots filled with the item's own values),
-whatever share of the item that is, so long exact passages are found.
+whatever share of the item that is, so long exact passages are found. An item of fewer than eight words is one window
+of its own length, of its words as they are; documents have such windows for the lengths that the benchmark has. Items
+of fewer than four words say too little to be looked for within a sentence: they count where they make up a whole one
+(from one of ``. ! ? : ;`` or a line's end to the next).
 
 Documents are read once. A bit table of fixed size over the benchmark's hashes drops nearly all windows before the
 join, which then decides exactly; benchmark windows are broadcast only up to a counted bound.
 
-Cases: null and empty texts and items hold no window; items of fewer than eight words are too unspecific to match;
-windows of fewer than four plain words match only with the same numbers and names, and count for runs, or for the
+Cases: null and empty texts and items hold no window; very long texts are read whole, in time linear in their length;
+an empty table of documents or items gives no rows and drops nothing; windows of fewer than four plain words match only with the same numbers and names, and count for runs, or for the
 share of an item that has no other windows; repeated rows (same id and text) give their matches once; null ids are ids
-of their own.
+of their own; extra columns are ignored by find_leaks() and kept by drop_leaks(), whatever their names.
 """
 
 from __future__ import annotations
@@ -75,8 +78,8 @@ class Canon:
                 self.kind[i] = (_CAPITAL if t[0].isupper() and not t.isupper() else 0) | (_UNIT if low in UNITS else 0)
         self.index.update(zip(new, range(at, at + len(new))))
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Hashes of the canonical words and of the words as they are, whether each is a slot, the tokens, and the token of each word."""
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Hashes of the canonical words and of the words as they are, whether each is a slot, the tokens, the token of each word, and how many sentences end before it."""
         tokens = TOKEN.findall(text)
         try:
             at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
@@ -90,31 +93,45 @@ class Canon:
         name = ((kind & _CAPITAL) > 0) & (before != _STOP) & ~unit
         h = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, self.hash[at])))
         word = np.flatnonzero(kind != _STOP)
-        return h[word], self.hash[at[word]], (number | unit | name)[word], tokens, word
+        return h[word], self.hash[at[word]], (number | unit | name)[word], tokens, word, np.cumsum(kind == _STOP)[word]
 
-    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, list[str], np.ndarray]:
-        """(starts, hashes) of the windows, first those that are specific enough, then the others by their words as they are; how many are of the first sort; slots, tokens and words as above."""
-        h, raw, slot, tokens, word = self.words(text)
+    def windows(self, text: str, lengths: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, list[str], np.ndarray]:
+        """(starts, hashes, widths) of the windows: first those that are specific enough, then the others by their words
+        as they are, then those of the given shorter lengths; how many are of the first sort; slots, tokens and words."""
+        h, raw, slot, tokens, word, sentence = self.words(text)
         n = len(h) - WIDTH + 1
-        if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.uint64), 0, slot, tokens, word
-        plain = np.concatenate([[0], np.cumsum(~slot)])
-        specific = plain[WIDTH:] - plain[:-WIDTH] >= PLAIN
-        good, rest = np.flatnonzero(specific), np.flatnonzero(~specific)
-        return np.concatenate([good, rest]), np.concatenate([_rolled(h, n, 0)[good], _rolled(raw, n, EXACT, rest)]), len(good), slot, tokens, word
-
-
-def _rolled(h: np.ndarray, n: int, seed: int, at: np.ndarray | None = None) -> np.ndarray:
+        starts, hashes, widths, specific = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        if n > 0:
+            plain = np.concatenate([[0], np.cumsum(~slot)])
+            enough = plain[WIDTH:] - plain[:-WIDTH] >= PLAIN
+            good, rest = np.flatnonzero(enough), np.flatnonzero(~enough)
+            starts, hashes, widths, specific = [good, rest], [_rolled(h, n, 0)[good], _rolled(raw, n, EXACT, rest)], [np.full(n, WIDTH)], len(good)
+        for width in lengths:
+            m = len(raw) - width + 1
+            if m > 0:
+                places = np.arange(m)
+                if width < PLAIN:  # whole sentences only
+                    edge = np.concatenate([[-1], sentence, [sentence[-1] + 1]])
+                    places = places[(edge[:m] < sentence[:m]) & (edge[width + 1 :] > sentence[width - 1 :]) & (sentence[:m] == sentence[width - 1 :])]
+                starts.append(places)
+                hashes.append(_rolled(raw, m, EXACT + np.uint64(width), places, width))
+                widths.append(np.full(len(places), width))
+        return np.concatenate(starts), np.concatenate(hashes), np.concatenate(widths), specific, slot, tokens, word
+
+
+def _rolled(h: np.ndarray, n: int, seed: int, at: np.ndarray | None = None, width: int = WIDTH) -> np.ndarray:
     """Hashes of the windows of words h, of all n or of those that start at some places."""
     rolled = np.full(n if at is None else len(at), seed, np.uint64)
-    for i in range(WIDTH):
+    for i in range(width):
         rolled = (rolled ^ (rolled >> np.uint64(29))) * MULTIPLY + (h[i : i + n] if at is None else h[at + i])
     rolled = (rolled ^ (rolled >> np.uint64(32))) * MIX
     return rolled ^ (rolled >> np.uint64(32))
 
 
-def windows(texts: DataFrame, table: np.ndarray | None) -> DataFrame:
-    """Rows (k, h, p, gram, slots, n, extra) of the windows of texts (k, h, text); with a bit table only those in it. n windows make up the text, extra ones only lengthen runs."""
+def windows(texts: DataFrame, table: np.ndarray | None, lengths: tuple[int, ...] = ()) -> DataFrame:
+    """Rows (k, h, p, gram, slots, n, extra) of the windows of texts (k, h, text); with a bit table only those in it, and
+    also windows of the given shorter lengths; without, a shorter text is one window. n windows make up the text, extra
+    ones only lengthen runs."""
     fields = [*texts.schema.fields[:2], T.StructField("p", T.LongType()), T.StructField("gram", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("n", T.LongType()), T.StructField("extra", T.BooleanType())]
     sent = texts.sparkSession.sparkContext.broadcast(table)
     kept: dict = {}
@@ -126,16 +143,19 @@ def windows(texts: DataFrame, table: np.ndarray | None) -> DataFrame:
             for batch in arrow_pieces(whole):
                 rows, ps, grams, slots, ns, extras = [], [], [], [], [], []
                 for i, t in enumerate(batch.column(2).to_pylist()):
-                    p, g, specific, slot, tokens, word = canon.windows(t or "")
+                    p, g, width, specific, slot, tokens, word = canon.windows(t or "", lengths)
+                    if bits is None and 0 < len(word) < WIDTH:
+                        n = len(word)
+                        p, g, width = np.zeros(1, np.int64), _rolled(canon.words(t)[1], 1, EXACT + np.uint64(n), None, n), np.array([n])
                     total = specific or len(p)
                     extra = np.arange(len(p)) >= total
-                    if bits is not None and total:
+                    if bits is not None and len(p):
                         low = (g & np.uint64((1 << BITS) - 1)).astype(np.int64)
                         inside = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
-                        p, g, extra = p[inside], g[inside], extra[inside]
-                    for start in p.tolist():
+                        p, g, extra, width = p[inside], g[inside], extra[inside], width[inside]
+                    for start, n in zip(p.tolist(), width.tolist()):
                         rows.append(i)
-                        slots.append([tokens[word[j]].lower() if slot[j] else "" for j in range(start, start + WIDTH)])
+                        slots.append([tokens[word[j]].lower() if slot[j] and n == WIDTH else "" for j in range(start, start + n)])
                         ns.append(total)
                     ps += p.tolist()
                     grams += g.view(np.int64).tolist()
@@ -199,9 +219,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     asked = benchmark.select(F.col(item).alias("k"), text_hash(item_text).alias("h"), F.col(item_text).alias("text"))
     asked = materialize(windows(asked, None).dropDuplicates(["k", "h", "p"]))
     lows = asked.select(F.col("gram").bitwiseAND((1 << BITS) - 1).alias("low")).distinct().toArrow()["low"].to_numpy()
+    lengths = tuple(sorted(r.n for r in asked.select(F.size("slots").alias("n")).where(F.col("n") < WIDTH).distinct().collect()))
     table = np.zeros(1 << (BITS - 3), np.uint8)
     np.bitwise_or.at(table, lows >> 3, (1 << (lows & 7)).astype(np.uint8))
-    found = windows(docs.select(F.col(key).alias("k"), text_hash(text).alias("h"), F.col(text).alias("text")), table)
+    found = windows(docs.select(F.col(key).alias("k"), text_hash(text).alias("h"), F.col(text).alias("text")), table, lengths)
     items = bounded_broadcast(asked, 200_000).select(F.col("k").alias("item"), F.col("h").alias("ih"), F.col("p").alias("q"), "gram", F.col("slots").alias("item_slots"), F.col("n").alias("item_n"), "extra")
     hits = found.drop("n", "extra").join(items, "gram")
     zipped = F.transform(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda x, i: F.struct((F.col("q") + i).alias("w"), x.b.alias("b"), x.d.alias("d")))

@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import os
 import random
 import re
 import time
@@ -485,6 +486,85 @@ def test_decontamination_of_long_passages(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(frame(spark, texts), bench).collect()) == [2, 5]
 
 
+def plain_canon(text):
+    """(canonical, as it is, is a slot, sentence) of each word, from the rule as it is written down."""
+    out, before, sentence = [], None, 0
+    for t in re.findall(r"\d[\d.,]*\d|\d|[^\W\d_]+|[.!?:;\n]+", text or ""):
+        if not t[0].isalnum():
+            before, sentence = None, sentence + 1
+            continue
+        low = t.lower()
+        if t[0].isdigit():
+            out.append(("<num>", low, True, sentence))
+        elif before is not None and before[0].isdigit() and low in decontaminate.UNITS:
+            out.append(("<unit>", low, True, sentence))
+        elif before is not None and t[0].isupper() and not t.isupper():
+            out.append(("<name>", low, True, sentence))
+        else:
+            out.append((low, low, False, sentence))
+        before = t
+    return out
+
+
+def plain_leaked(doc, item):
+    """Whether a document (canonical words) holds an item, tried at every place."""
+    n = len(item)
+    if 0 < n < 8:
+        raw, whole = [w[1] for w in item], [w[1] for w in doc]
+        for i in range(len(doc) - n + 1):
+            if whole[i : i + n] == raw:
+                alone = len({w[3] for w in doc[i : i + n]}) == 1 and (i == 0 or doc[i - 1][3] < doc[i][3]) and (i + n == len(doc) or doc[i + n][3] > doc[i][3])
+                if n >= 4 or alone:
+                    return True
+        return False
+    special = [sum(not w[2] for w in item[q : q + 8]) >= 4 for q in range(n - 7)]
+    total, found = sum(special) or n - 7, set()
+    for shift in range(-n + 8, len(doc) - 7):
+        hits = []
+        for q in range(max(0, -shift), min(n - 7, len(doc) - shift - 7)):
+            pairs = list(zip(item[q : q + 8], doc[q + shift : q + shift + 8]))
+            if all(a[0] == b[0] for a, b in pairs) if special[q] else all(a[1] == b[1] for a, b in pairs):
+                hits.append(q)
+        fills = lambda words: {(item[w][1] if item[w][2] else "", doc[w + shift][1] if doc[w + shift][2] else "") for w in words if item[w][2] or doc[w + shift][2]}  # noqa: E731, B023
+        good = lambda words: len({b for b, _ in fills(words)}) == len(fills(words))  # noqa: E731, B023
+        main = [q for q in hits if special[q] or not any(special)]
+        if main and good({w for q in main for w in range(q, q + 8)}):
+            found |= set(main)
+        words = sorted({w for q in hits for w in range(q, q + 8)})
+        for a in range(len(words)):
+            for b in range(a + 13, len(words) + 1):
+                run = words[a:b]
+                if run[-1] - run[0] == len(run) - 1 and good(run) and sum(item[w][1] == doc[w + shift][1] for w in run) >= 13:
+                    return True
+    return total > 0 and len(found) / total >= 0.5
+
+
+def test_short_items_and_plain_matcher(spark):
+    rng = random.Random(15)
+    items = ["Who wrote the green book", "Paris", "two words", "What is 7 times 8?", prose(rng, 7), "In 5 of 7 or 9 to 11 and 13 by 15", prose(rng, 8)] + [f"Tom paid 12 euro for {prose(rng, 9)} and Ann 12 euro to Tom"]
+    fill = prose(rng, 20)
+    texts = [f"{fill} {i} {fill}" for i in items] + [f"{fill}\n{i}\n{fill}" for i in items] + items
+    texts += [fill, "", None, "who wrote the red book", "paris. two. words", "What is 6 times 8?", f"Bob paid 9 euro for {items[7].split('for ')[1].replace('12', '9').replace('Tom', 'Bob').replace('Ann', 'Eve')}", f"a {items[5].replace('11', '12')} b"]
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if plain_leaked(plain_canon(t), plain_canon(x))}
+    found = decontaminate.find_leaks(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert {(0, 0), (8, 0), (9, 1), (10, 2), (3, 3), (5, 5), (30, 7)} <= want and not {(1, 1), (2, 2), (24, 0), (27, 0), (29, 3)} & want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_plain_matcher_on_the_smallest_table(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    items = {r.item_id: plain_canon(r.text) for r in bench.collect()}
+    want = set()
+    for r in docs.collect():
+        doc = plain_canon(r.text)
+        grams = {tuple(w[0] for w in doc[i : i + 4]) for i in range(len(doc) - 3)}
+        for i, item in items.items():  # without four equal words in a row there is no window
+            if any(tuple(w[0] for w in item[q : q + 4]) in grams for q in range(len(item) - 3)) and plain_leaked(doc, item):
+                want.add((r.doc_id, i))
+    assert want and {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == want
+
+
 def test_quality(spark):
     rng = random.Random(11)
     rows, labels = [], []
