@@ -6,12 +6,18 @@ of the larger of query value times either extreme bounds every score in the bloc
 order of that bound and stops when the next one is below its k-th score; ties are visited, so equal scores still go
 to the smaller id. The k-th best among the other queries, which are documents themselves, is a first threshold.
 
-Queries go to the executors in chunks of a fixed size, every partition of documents keeps at most k rows for each
-query, and a last ranking by query merges them. Nothing grows with a driver but one chunk.
+Nothing passes through the driver but two counts. Documents are packed into blocks once and written to the shared
+folder, a row for each block; queries are quantized and written likewise. Queries are dealt to chunks of about CHUNK,
+blocks to groups of up to GROUP; every group of blocks meets every chunk of queries in one task, which holds the chunk
+and streams the blocks. Each such meeting gives at most k rows for each query, and a last ranking merges them. So the
+queries are shuffled once for each group and the blocks once for each chunk; no task grows with either.
 
 Cases: vectors that are null, or hold null or non-finite components, and rows with a null id take no part; vectors of
-different lengths are not compared; rows of one id are the same document for leaving out the query itself, and
-repeated queries give one result; fewer than k candidates give all. Scores must fit 64 bits.
+different lengths are not compared; rows of one id are the same document for leaving out the query itself. Equal rows
+of a query (id and quantized vector) are one query; rows of one id with different vectors are queries of their own, each
+with its own ranks. Repeated candidates count as often as they occur. Ids are 64-bit integers throughout; ties go to the
+smaller id. Fewer than k candidates give all; an empty table gives no rows; other columns, whatever their names, are
+ignored. Scores must fit 64 bits.
 """
 
 from __future__ import annotations
@@ -21,10 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, BLOCKS, CHUNK = 512, 64, 4096
+from .common import materialize, releasing
+
+#: Documents of a block, blocks that are looked at together, blocks of a group, queries of a chunk, and how many of
+#: them give first thresholds.
+BLOCK, BLOCKS, GROUP, CHUNK, FIRST = 512, 64, 2048, 8192, 1024
 
 
 def quantized(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -60,8 +71,8 @@ class Best:
         self.doc = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.least = np.full(len(ids), LOWEST)
         for start in range(0, len(ids), BLOCK):
-            s = products(vectors[start : start + BLOCK], vectors)
-            s[ids[start : start + BLOCK][:, None] == ids[None, :]] = LOWEST
+            s = products(vectors[start : start + BLOCK], vectors[:FIRST])
+            s[ids[start : start + BLOCK][:, None] == ids[None, :FIRST]] = LOWEST
             if s.shape[1] > k:
                 self.least[start : start + BLOCK] = np.partition(s, -k, axis=1)[:, -k]
 
@@ -101,55 +112,98 @@ class Best:
             for b in np.unique(block):
                 self.add(active[block == b], ids[starts[b] : starts[b] + BLOCK], x[starts[b] : starts[b] + BLOCK])
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the query, its id, document, score) of what is best."""
         q, j = np.nonzero(self.score > LOWEST)
-        return self.ids[q], self.doc[q, j], self.score[q, j]
+        return q, self.ids[q], self.doc[q, j], self.score[q, j]
+
+
+def _smallest(x: np.ndarray) -> np.ndarray:
+    """Integers in the smallest of three types that holds them."""
+    most = np.abs(x).max(initial=0)
+    return x.astype(np.int16) if most < 1 << 15 else x.astype(np.int32) if most < 1 << 31 else x
+
+
+def _vectors(data: bytes, rows: int, n: int) -> np.ndarray:
+    """The vectors of _smallest(), whose type shows in their size."""
+    return np.frombuffer(data, {2: np.int16, 4: np.int32, 8: np.float64}[len(data) // max(1, rows * n)] if n else np.float64).reshape(rows, n).astype(np.float64)
+
+
+def blocks_of(rows: DataFrame, scale: int) -> DataFrame:
+    """Rows (id, v) packed into blocks: id (a number of its own), n (length of the vectors), ids, x."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for ids, x in quantized(batch, scale):
+                for start in range(0, len(ids), BLOCK):
+                    some, vectors = ids[start : start + BLOCK], _smallest(x[start : start + BLOCK])
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([x.shape[1]]), pa.array([some.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], ["id", "n", "ids", "x"])
+                    number += 1
+
+    return rows.mapInArrow(releasing(run), "id long, n long, ids binary, x binary")
+
+
+def queries_of(rows: DataFrame, scale: int) -> DataFrame:
+    """The distinct queries among rows (id, v): id, n, x."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, x in quantized(batch, scale):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), x.shape[1])), pa.array([v.tobytes() for v in x + 0.0], pa.binary())], ["id", "n", "x"])
+
+    return rows.mapInArrow(releasing(run), "id long, n long, x binary").distinct()
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row where is_query(id) holds, the k best of all other rows."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    asked = rows.where(is_query(F.col("id")))
-    chunks = max(1, -(-asked.count() // CHUNK))
-    out = None
-    for c in range(chunks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).toArrow().combine_chunks().to_batches()
-        found: dict[int, list] = {}
-        for batch in part:
-            for ids, x in quantized(batch, scale):
-                found.setdefault(x.shape[1], []).append((ids, x))
-        queries = {}
-        for n, pairs in found.items():
-            ids, x = np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
-            first = np.sort(np.unique(np.column_stack([ids[:, None].astype(np.float64), x]), axis=0, return_index=True)[1])
-            queries[n] = (ids[first], x[first])
-        sent = vectors.sparkSession.sparkContext.broadcast(queries)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            best = {n: Best(ids, x, k) for n, (ids, x) in sent.value.items()}
-            waiting: dict[int, list] = {n: [] for n in best}
-
-            def flush(n: int) -> None:
-                if waiting[n]:
-                    best[n].visit(np.concatenate([a for a, _ in waiting[n]]), np.concatenate([b for _, b in waiting[n]]))
-                    waiting[n].clear()
-
-            for batch in batches:
-                for ids, x in quantized(batch, scale):
-                    n = x.shape[1]
-                    if n in best and len(ids):
-                        waiting[n].append((ids, x))
-                        if sum(len(a) for a, _ in waiting[n]) >= BLOCK * BLOCKS:
-                            flush(n)
-            for n in best:
-                flush(n)
-                q, d, s = best[n].rows()
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(d), pa.array(s)], ["query_id", "vec_id", "score"])
-
-        got = rows.mapInArrow(run, "query_id long, vec_id long, score long")
-        out = got if out is None else out.unionByName(got)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    blocks, queries = materialize(blocks_of(rows, scale)), materialize(queries_of(rows.where(is_query(F.col("id"))), scale))
+    n_blocks, n_queries = blocks.count(), queries.count()
+    chunks = max(1, -(-n_queries // CHUNK))
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-n_blocks // GROUP), min(n_blocks // BLOCKS, -(-tasks // chunks)))
+    asked = queries.withColumn("c", F.pmod(F.xxhash64("id", "x"), F.lit(chunks))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    shown = blocks.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    both = asked.select(F.col("g").cast("long"), F.col("c").cast("long"), "n", F.lit(0).alias("side"), "id", F.lit(None).cast("binary").alias("ids"), "x")
+    both = both.union(shown.select(F.col("g").cast("long"), F.col("c").cast("long"), "n", F.lit(1).alias("side"), "id", "ids", "x"))
+    both = both.repartition("g", "c", "n").sortWithinPartitions("g", "c", "n", "side", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, asks, best, waiting = None, [], None, []
+
+        def look() -> None:
+            nonlocal best
+            if asks and best is None:
+                best = Best(np.array([i for i, _ in asks], np.int64), np.stack([np.frombuffer(x, np.float64) for _, x in asks]), k)
+            if best and waiting:
+                best.visit(np.concatenate([i for i, _ in waiting]), np.concatenate([x for _, x in waiting]))
+            waiting.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            look()
+            if best:
+                at, q, d, s = best.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array([asks[i][1] for i in at], pa.binary()), pa.array(d), pa.array(s)], ["query_id", "x", "vec_id", "score"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if place != (r["g"], r["c"], r["n"]):
+                    yield from flush()
+                    place, asks, best, waiting = (r["g"], r["c"], r["n"]), [], None, []
+                if r["side"] == 0:
+                    asks.append((r["id"], r["x"]))
+                elif asks:
+                    ids = np.frombuffer(r["ids"], np.int64)
+                    waiting.append((ids, _vectors(r["x"], len(ids), r["n"])))
+                    if len(waiting) >= BLOCKS:
+                        look()
+        yield from flush()
+
+    got = both.mapInArrow(releasing(run), "query_id long, x binary, vec_id long, score long")
+    got = got.select("query_id", F.sha2("x", 256).alias("x"), "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id", "x").orderBy(F.desc("score"), "vec_id"))
+    return got.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def top_k_sql(k: int = 10, scale: int = 1024, every: int = 100) -> str:
@@ -157,8 +211,9 @@ def top_k_sql(k: int = 10, scale: int = 1024, every: int = 100) -> str:
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % {every} = 0),
 s AS (
-  SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.e, d.e)::BIGINT AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % {every} = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+  SELECT q.vec_id AS query_id, q.e, d.vec_id, list_dot_product(q.e, d.e)::BIGINT AS score
+  FROM a q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= {k}"""

@@ -353,6 +353,23 @@ def test_top_k(spark):
     assert topk_search.top_k(df.limit(0), lambda c: c % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block,blocks,group,chunk,first", [(512, 64, 2048, 8192, 1024), (8, 3, 7, 5, 4)])
+def test_top_k_of_large_and_repeated_ids(spark, monkeypatch, block, blocks, group, chunk, first):
+    for name, value in zip(("BLOCK", "BLOCKS", "GROUP", "CHUNK", "FIRST"), (block, blocks, group, chunk, first)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng, big = random.Random(16), 2**53
+    rows = [(big + i, [rng.choice([0.5, 1.0, 40.0]) for _ in range(3)]) for i in range(60)] + [(big, [1.0, 1.0, 1.0]), (big + 1, [1.0, 1.0, 1.0])]
+    rows += [rows[7], rows[10], rows[10], (big + 20, [9.0, 0.0, 0.0]), (-(2**62), [5.0, 5.0, 1e5])]
+    df = spark.createDataFrame([(i, v, "x", "y", 1) for i, v in rows], "vec_id long, embedding array<double>, id string, g string, n int").repartition(4)
+    got = Counter(tuple(r) for r in topk_search.top_k(df, lambda c: c % 10 == 0).collect())
+    whole = [(i, tuple(int(np.floor(1024 * c)) for c in v)) for i, v in rows]
+    want = Counter()
+    for q, v in {(i, v) for i, v in whole if i % 10 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), d) for d, w in whole if d != q)[:10]
+        want.update((q, k + 1, d, -s) for k, (s, d) in enumerate(best))
+    assert got == want and len({q for q, *_ in got}) > 5
+
+
 def shingles(text):
     w = re.findall(r"\w+", (text or "").lower()) or ([" ".join(text.split())] if text and text.strip() else [])
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
