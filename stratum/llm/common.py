@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Where checkpoints go when the session names no folder (tests, single machine).
+#: Where checkpoints go when the session names no folder and its master is this machine.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 #: Rows of a small table that may be broadcast; beyond, joins shuffle.
@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share; set here only where the session has none and runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":  # local-cluster has executors of its own
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"{LOCAL_SHARED}/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():
@@ -64,6 +66,29 @@ def text_hash(col: str = "text"):
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
 
 
+def bounded_sample(rows: DataFrame, per_class: int, most_bytes: int, seed: int) -> tuple[list[str], list]:
+    """Texts and classes of a sample of rows (id, y, t) for a classifier: the first distinct ones by a hash of id and text.
+
+    At most per_class rows of each class and, over all classes in equal shares, most_bytes of text reach the driver,
+    however often ids and rows repeat and however long texts are.
+    """
+    marked = rows.select("y", F.xxhash64("id", "t", F.lit(seed)).alias("o"), F.coalesce("t", F.lit("")).alias("t"))
+    narrow = marked.select("y", "o", F.octet_length("t").alias("n")).distinct()
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("o"))
+    first = narrow.withColumn("r", rank).where(F.col("r") <= per_class).select("y", "o", "n").toArrow().sort_by([("y", "ascending"), ("o", "ascending")])
+    share, cuts, used = most_bytes // max(1, len(first["y"].unique())), {}, {}
+    for y, o, n in zip(*(first[c].to_pylist() for c in ("y", "o", "n"))):
+        used[y] = used.get(y, 0) + n
+        if used[y] <= share:
+            cuts[y] = o
+    if not cuts:
+        return [], []
+    kind = rows.schema["y"].dataType.simpleString()
+    few = F.broadcast(rows.sparkSession.createDataFrame(list(cuts.items()), f"y {kind}, cut long"))
+    found = marked.join(few, "y").where("o <= cut").dropDuplicates(["y", "o"]).select("y", "o", "t").toArrow().sort_by([("o", "ascending"), ("y", "ascending")])
+    return found["t"].to_pylist(), found["y"].to_pylist()
+
+
 def arrow_pieces(batch: pa.RecordBatch, size: int = 8 << 20, col: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no piece has much more text than size bytes, unless one row has."""
     texts = batch.column(batch.schema.get_field_index(col))

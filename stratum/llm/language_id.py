@@ -5,9 +5,12 @@ binary vector; the kernel of two texts is the size of their intersection over th
 Nyström landmarks turn it into a few hundred features, and one ridge regression per language against the rest is
 solved in closed form. A batch is scored by two matrix products: texts by landmarks, kernels by languages.
 
-Landmarks and training texts are bounded samples per language; every whole text is scored in one pass without a
-shuffle. Cases: null texts and texts without a letter are ``und`` with score 0; a null id is not held out and
-teaches nothing; without any training text all predictions are ``und``; rows may repeat.
+Landmarks and training texts are bounded samples per language (``per_lang`` rows, ``most_bytes`` of text over all);
+every whole text is scored in one pass without a shuffle. The vector has 2^14 cells: a text of some thousand different
+grams fills a fair part of them, its kernel with others then counts chance meetings too, and what tells languages apart
+is what is missing. Cases: null texts and texts without a letter are ``und`` with score 0; very long texts are read
+whole; a null id is not held out and teaches nothing; without any training text all predictions are ``und``; equal rows
+teach once and are all scored; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pieces
+from .common import arrow_pieces, bounded_sample
 
 BITS, LONGEST = 14, 4
 UNKNOWN = "und"
@@ -103,15 +106,11 @@ def train(texts: list[str], langs: list[str], landmarks_per_lang: int = 48, ridg
     return model
 
 
-def training_sample(docs: DataFrame, allowed, per_lang: int, key: str, text: str, lang: str) -> tuple[list[str], list[str]]:
-    """About per_lang rows of each language, by hash of the id."""
-    rows = docs.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("t")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("t").isNotNull()).where(allowed(F.col("id")))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    kept = F.lit(False)
-    for name, n in counts.items():
-        kept |= (F.col("lang") == name) & (F.pmod(F.xxhash64(F.col("id"), F.lit(43)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, per_lang / n)))
-    found = rows.where(kept).toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
-    return found["t"].to_pylist(), found["lang"].to_pylist()
+def training_sample(docs: DataFrame, allowed, per_lang: int, key: str, text: str, lang: str, most_bytes: int = 64 << 20) -> tuple[list[str], list[str]]:
+    """At most per_lang rows of each language, and most_bytes of text in all, by hash."""
+    rows = docs.select(F.col(key).alias("id"), F.col(lang).alias("y"), F.col(text).alias("t"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("y").isNotNull() & F.col("t").isNotNull())
+    return bounded_sample(rows.where(allowed(F.col("id"))), per_lang, most_bytes, 43)
 
 
 def predict_language(docs: DataFrame, fold: int = 4, held: int = 2, per_lang: int = 800, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

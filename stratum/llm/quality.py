@@ -5,12 +5,14 @@ and by path within host; each host's rate is shrunk towards the global rate and
 as many pseudo-documents as the spread between sites suggests (method of moments), so sparse sites say little.
 The document's evidence and its path's posterior are then combined as log odds.
 
-The regression is fitted on a bounded sample of labelled rows (``per_class`` of each label); sites are counted over
+The regression is fitted on a bounded sample of labelled rows (``per_class`` of each label, 64 MB of text); sites are counted over
 all documents. Two passes over the texts; the only shuffle before the verdict carries one partial sum per site and
 task. Site rates are broadcast if their number is small and joined by shuffle otherwise.
 
 Cases: null and empty texts have evidence from their zero features; null hosts and paths are sites of their own;
-without labels of both kinds the evidence is even and everything is kept; repeated rows count repeatedly.
+without labels of both kinds the evidence is even and everything is kept; equal rows teach once, count for their site as
+often as they occur, and are all scored; very long texts are read whole; an empty table gives no rows; all columns are
+kept, and where one has the name of a new one, the new one gets a leading underscore.
 """
 
 from __future__ import annotations

@@ -6,9 +6,11 @@ window of words is the average of its words and goes through the softmax; a text
 so that a long text does not dilute a short insult. Training lowers the softmax loss first on averages of whole
 texts, then on worst windows; gradients reach embeddings and softmax alike.
 
-Learned on a bounded sample of labelled rows (``per_class`` of each label); scored on whole texts, one pass
-without a shuffle. Cases: null and empty texts get the score of an empty window; rows without label are scored
-too; repeated labels count repeatedly; a null id is not held out and teaches nothing.
+Learned on a bounded sample of labelled rows (``per_class`` of each label and ``most_bytes`` of text); scored on whole
+texts, one pass without a shuffle. Cases: null and empty texts get the score of an empty window; very long texts are
+scored whole; rows without label are scored too; equal rows teach once and are all scored, rows of one id each for
+themselves; a null id is not held out and teaches nothing; without labels all scores are alike; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pieces
+from .common import arrow_pieces, bounded_sample
 
 WORD = re.compile(r"\w+")
 BUCKETS, GRAMS, WIDTH = 1 << 18, (2, 3, 4), 8
@@ -73,9 +75,10 @@ def windows(doc_starts: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, n
 
 
 def window_means(z: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(z, dtype=np.float64)])
-    means = total[last]
-    means -= total[first]
+    """Sums within each window alone, so that a text scores the same beside any others."""
+    means = z[first].astype(np.float64)
+    for k in range(1, WINDOW):
+        means += np.where(first + k < last, z[np.minimum(first + k, len(z) - 1)], 0.0)
     means /= WINDOW
     return means
 
@@ -167,20 +170,17 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(worst + self.bias, -500, 500)))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per_class: int, key: str = "doc_id", text: str = "text"):
-    """About per_class rows of each label, by hash of the id, as (texts, labels).
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per_class: int, key: str = "doc_id", text: str = "text", most_bytes: int = 64 << 20):
+    """At most per_class rows of each label, and most_bytes of text, by hash, as (texts, labels).
 
-    The ids are few and bounded by per_class, so they are broadcast and no text is shuffled.
+    At most per_class ids of each label are drawn first, so they are broadcast and no text is shuffled.
     """
-    rows = labels.select(F.col(key).alias("id"), F.col(label).alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(allowed(F.col("id")))
-    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    kept = F.lit(False)
-    for y, n in counts.items():
-        kept |= (F.col("y") == y) & (F.pmod(F.xxhash64(F.col("id"), F.lit(41)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, per_class / n)))
-    rows = F.broadcast(rows.where(kept))
-    found = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(rows, "id").select("id", "t", "y").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    y = found["y"].to_numpy()
-    return [t or "" for t in found["t"].to_pylist()], y
+    rows = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(allowed(F.col("id")))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(41)), "id"))
+    drawn = rows.distinct().withColumn("r", rank).where(F.col("r") <= per_class).select("id", "y")
+    found = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(drawn), "id")
+    texts, y = bounded_sample(found, per_class, most_bytes, 41)
+    return texts, np.array(y, np.int64)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, per_class: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:

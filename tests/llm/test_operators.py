@@ -112,7 +112,8 @@ def test_sentence_pieces(spark, awkward):
     got = {r.doc_id: r for r in out.collect()}
     for i, t in enumerate(texts):
         assert list(got[i].piece_ids) == lib.encode(t or "")
-        assert got[i].round_trip and got[i].n_pieces == len(got[i].piece_ids)
+        assert got[i].round_trip == (lib.decode(lib.encode(t or "")) == (t or "")) and got[i].n_pieces == len(got[i].piece_ids)
+    assert not next(r for r in sentence_pieces.encode(frame(spark, ["a\u2581b"]), PIECES).collect()).round_trip
     back = {r.doc_id: r.text for r in sentence_pieces.decode(out, PIECES).collect()}
     assert all(back[i] == lib.decode(lib.encode(t or "")) for i, t in enumerate(texts))
 
