@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -230,3 +232,27 @@ def geo_role(semantic_role) -> Column:
 def summary_guard(size, limit: int = 262063) -> Column:
     """Null, or the error code of a blob that is too large to be summarised where it is."""
     return F.when(c(size) > limit, F.lit(7))
+
+
+#: Names of compression schemes.
+COMPRESSION = ("NONE", "LZ4")
+
+
+def compression_scheme(name) -> Column:
+    """A scheme's name as it is listed, whatever its letter case; null if there is none of that name."""
+    upper = F.upper(F.trim(c(name)))
+    return F.when(upper.isin(*COMPRESSION), upper)
+
+
+def ring(hosts: list[str], points: int = 64) -> list[tuple[str, str]]:
+    """Places of hosts on a ring of hashes: (hash, host) in order. Without a host there is no ring."""
+    if not hosts:
+        raise ValueError("a ring needs a host")
+    return sorted((hashlib.sha256(f"{host}#{k}".encode()).hexdigest(), host) for host in set(hosts) for k in range(points))
+
+
+def server_of(key, hosts: list[str], points: int = 64) -> Column:
+    """The host whose place on the ring follows the hash of a key; a host that goes gives only its own keys away."""
+    places = ring(hosts, points)
+    following = F.filter(F.array(*(F.struct(F.lit(h).alias("at"), F.lit(name).alias("host")) for h, name in places)), lambda x: x.at >= F.sha2(c(key), 256))
+    return F.coalesce(F.get(following, F.lit(0)).host, F.lit(places[0][1]))

@@ -18,10 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratum.operators.lineage import cut
+
 BLOCK_TARGET = 15 << 20
 SHARD_TARGET = 48 << 20
 MAX_REFS = 512
 U32 = 4294967295
+#: Places in the store from which runs of a chunk are looked for.
+CANDIDATES = 8
 
 
 def with_offsets(chunks: DataFrame, by: str = "cas_hash", order: str = "idx") -> DataFrame:
@@ -56,13 +60,26 @@ def reconstruction(files: DataFrame, segments: DataFrame, rank: str | None = Non
     return rows
 
 
-def dedup_runs(file_chunks: DataFrame, cas_chunks: DataFrame) -> DataFrame:
+def dedup_runs(file_chunks: DataFrame, cas_chunks: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
     """Runs of a file's chunks that a block holds in a row: file_id, cas_hash, first_seq, first_idx, n_chunks, start, end.
 
-    An equi-join on the chunk hash; a run is an island of equal seq - idx.
+    An equi-join on the chunk hash; a run is an island of equal seq - idx. A chunk that the store holds in more than
+    ``candidates`` places (a blank line) gives hits with the first so many by (cas_hash, idx), and wherever it lies
+    on a diagonal of its file and a block that a rarer chunk shows, so runs go on through it; it is never joined
+    with all its places. Runs of such chunks alone are reported from those first places.
     """
+    count = cas_chunks.groupBy("chunk_hash").agg(F.count("*").alias("places"))
+    common = count.where(F.col("places") > candidates).select("chunk_hash")
+    place = F.row_number().over(Window.partitionBy("chunk_hash").orderBy("cas_hash", "idx"))
+    few = cas_chunks.withColumn("place", place).where(F.col("place") <= candidates).drop("place")
     left = file_chunks.select("file_id", "seq", F.col("hash").alias("chunk_hash"))
-    hits = left.join(cas_chunks, "chunk_hash").withColumn("diagonal", F.col("seq") - F.col("idx"))
+    hits = left.join(few, "chunk_hash").withColumn("diagonal", F.col("seq") - F.col("idx"))
+    hits = hits.join(common.withColumn("common", F.lit(True)), "chunk_hash", "left")
+    shown = hits.where("common IS NULL").select("file_id", "cas_hash", "diagonal").distinct()
+    through = left.join(common, "chunk_hash").join(shown, "file_id").withColumn("idx", F.col("seq") - F.col("diagonal"))
+    through = through.join(cas_chunks, ["cas_hash", "idx", "chunk_hash"])
+    names = ["file_id", "seq", "cas_hash", "idx", "start", "len", "diagonal"]
+    hits = hits.select(*names).union(through.select(*names)).distinct()
     w = Window.partitionBy("file_id", "cas_hash", "diagonal").orderBy("seq")
     islands = hits.withColumn("island", F.col("seq") - F.row_number().over(w))
     return islands.groupBy("file_id", "cas_hash", "diagonal", "island").agg(
@@ -182,36 +199,56 @@ def global_lookup(table: DataFrame, asked: DataFrame, salt: bytes) -> DataFrame:
     return asked.withColumn("salted_hash", salted("hash", F.lit(salt))).join(last, "salted_hash")
 
 
-def compact(shards: DataFrame, target: int = SHARD_TARGET) -> DataFrame:
-    """Groups of consecutive shards (by mtime) that together reach the target: shard, bin."""
-    return pack(shards.withColumn("all", F.lit(0)), "all", "mtime", "size", target, over=False).drop("all")
+def compact(shards: DataFrame, target: int = SHARD_TARGET, by: str | None = None) -> DataFrame:
+    """Groups of consecutive shards (by mtime, then name) that together reach the target: shard, bin.
 
+    One row a shard is walked in order; with by (such as the folder) each of its values on its own, in parallel.
+    """
+    rows = shards if by else shards.withColumn("all", F.lit(0))
+    packed = pack(rows.withColumn("__order", F.struct("mtime", "shard")), by or "all", "__order", "size", target, over=False)
+    return packed.drop("__order") if by else packed.drop("__order", "all")
 
-def reconstruct(segments: DataFrame, data: DataFrame, start: int = 0, length: int | None = None) -> DataFrame:
-    """file_hash and bytes of files, or of a range of them: segments joined to data(cas_hash, bytes).
 
-    Only the bytes that a segment needs leave its block; the pieces of a file are put together in order.
+def compacted(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of the shards (column shard) of each group as one shard, named by what it holds; of equal keys one stays."""
+    joined = rows.join(groups.select("shard", "bin"), "shard").dropDuplicates(["bin", *key])
+    names = joined.groupBy("bin").agg(F.sha2(F.sum(F.xxhash64(*key).cast("decimal(38,0)")).cast("string"), 256).alias("name"))
+    return joined.join(names, "bin").select(F.col("name").alias("shard"), *(c for c in rows.columns if c != "shard"))
+
+
+def pieces(segments: DataFrame, data: DataFrame, start: int = 0, length: int | None = None) -> DataFrame:
+    """file_hash, seq, piece of files, or of a range of them, for files that are too long for one row.
+
+    Only the bytes that a segment needs leave its block.
     """
     rows = segments if length is None and not start else slice_ranges(segments, start, length if length is not None else 1 << 62)
-    pieces = rows.join(data, "cas_hash").select("file_hash", "seq", F.substring("bytes", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("piece"))
+    return rows.join(data, "cas_hash").select("file_hash", "seq", F.substring("bytes", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("piece"))
+
+
+def reconstruct(segments: DataFrame, data: DataFrame, start: int = 0, length: int | None = None) -> DataFrame:
+    """file_hash and bytes of files, or of a range of them: segments joined to data(cas_hash, bytes), in order.
+
+    A file must fit a row (under 1 GB); pieces() gives longer ones part by part.
+    """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: F.hex(x.piece))
-    return pieces.groupBy("file_hash").agg(F.unhex(F.array_join(ordered, "")).alias("bytes"))
+    return pieces(segments, data, start, length).groupBy("file_hash").agg(F.unhex(F.array_join(ordered, "")).alias("bytes"))
 
 
 def clean(df: DataFrame, file_id: str, data: str, target: int, hashers: int, block_target: int = BLOCK_TARGET, lanes: int | None = None) -> dict[str, DataFrame]:
     """Files to a store: chunks, and new content packed into blocks, as the four tables (and pointers).
 
     Blocks are filled in lanes, as many as the session has shuffle partitions unless told otherwise. One shuffle by
-    chunk hash finds the first copy of every chunk, one by file rebuilds the segments.
+    chunk hash finds the first copy of every chunk, one by file rebuilds the segments. Chunks and placed chunks are
+    each computed once and written to the shared folder, whatever tables are read of the result.
     """
     from stratum.functions.scalar import pointer_text
     from stratum.operators.chunks import content_chunks
     from stratum.operators.merkle import file_hashes
 
-    chunks = content_chunks(df, file_id, data, target, hashers, with_bytes=True)
+    chunks = cut(content_chunks(df, file_id, data, target, hashers, with_bytes=True))
     lanes = lanes or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fresh = chunks.groupBy("hash").agg(F.min_by(F.struct("len", "bytes"), F.struct("file_id", "seq")).alias("x"), F.min("file_id").alias("home")).select("hash", "x.len", "x.bytes", F.pmod(F.xxhash64("home"), F.lit(lanes)).alias("lane"))
-    packed = pack(fresh, "lane", "hash", "len", block_target)
+    packed = cut(pack(fresh, "lane", "hash", "len", block_target))
     order = Window.partitionBy("lane", "bin").orderBy("hash")
     placed = packed.withColumn("idx", F.row_number().over(order) - 1)
     names = placed.groupBy("lane", "bin").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x.hash), ""), 256).alias("cas_hash"))

@@ -129,20 +129,102 @@ def top_items(counts: DataFrame, k: int = TOP, text_bytes: int = TEXT_BYTES) ->
 
 
 def cut_text(x, limit: int = TEXT_BYTES) -> Column:
-    """A text of more than so many bytes cut before the character that passes them, with '...' behind."""
+    """A text of more than so many bytes cut before the grapheme that passes them, with '...' behind.
+
+    Graphemes within the limit lie in its first characters, one more of which shows where the last of them ends.
+    """
     x = F.col(x) if isinstance(x, str) else x
-    chars = F.filter(F.sequence(F.lit(0), F.least(F.length(x), F.lit(limit))), lambda n: F.octet_length(F.substring(x, F.lit(1), n)) <= limit)
-    return F.when(F.octet_length(x) <= limit, x).otherwise(F.concat(F.substring(x, F.lit(1), F.array_max(chars)), F.lit("...")))
+    graphemes = F.regexp_extract_all(F.substring(x, 1, limit + 1), F.lit(r"(\X)"), F.lit(1))
+    start = F.struct(F.lit("").alias("text"), F.lit(True).alias("open"))
+
+    def add(so_far: Column, g: Column) -> Column:
+        fits = so_far.open & (F.octet_length(so_far.text) + F.octet_length(g) <= limit)
+        return F.struct(F.when(fits, F.concat(so_far.text, g)).otherwise(so_far.text).alias("text"), fits.alias("open"))
+
+    return F.when(F.octet_length(x) <= limit, x).otherwise(F.concat(F.aggregate(graphemes, start, add, lambda r: r.text), F.lit("...")))
 
 
 def heavy_hitters(df: DataFrame, column: str, epsilon: float) -> DataFrame:
-    """Items with at least max(1, epsilon * n) occurrences: item, count, count_min, count_max."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("item")).agg(F.count("*").alias("count"))
-    total = counts.agg(F.sum("count").alias("total"))
+    """Items with at least max(1, epsilon * n) occurrences, exactly: item, count, count_min, count_max."""
+    rows = df.where(F.col(column).isNotNull())
+    counts = rows.groupBy(F.col(column).alias("item")).agg(F.count("*").alias("count"))
+    total = rows.agg(F.count("*").alias("total"))
     kept = counts.crossJoin(F.broadcast(total)).where(F.col("count") >= F.greatest(F.lit(1), F.floor(F.col("total") * epsilon)))
     return kept.select("item", "count", F.col("count").alias("count_min"), F.col("count").alias("count_max"))
 
 
+def sketch(df: DataFrame, columns: list[str], capacity: int = int(math.ceil(1 / EPSILON)) + 1) -> DataFrame:
+    """A mergeable summary of frequent items: column, item, count_min, count_max, n.
+
+    At most ``capacity`` items for each column, whose true counts lie within count_min and count_max; one more row,
+    without an item, bounds by its count_max any item that is not listed. n is the number of values.
+    """
+    return _kept(item_counts(df, columns).select("column", "item", F.col("count").alias("count_min"), F.col("count").alias("count_max"), F.col("count").alias("n")), capacity)
+
+
+def merge_sketches(*parts: DataFrame, capacity: int = int(math.ceil(1 / EPSILON)) + 1) -> DataFrame:
+    """The summary of all parts together: ranges add up, and a part that does not list an item adds its bound for such."""
+    rows = reduce(DataFrame.unionByName, (p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)))
+    rest = rows.where("item IS NULL").select("column", "part", F.col("count_max").alias("missed"), "n")
+    total = rest.groupBy("column").agg(F.sum("missed").alias("all_missed"), F.sum("n").alias("all_n"))
+    items = rows.where("item IS NOT NULL").join(F.broadcast(rest.drop("n")), ["column", "part"])
+    items = items.groupBy("column", "item").agg(F.sum("count_min").alias("count_min"), F.sum(F.col("count_max") - F.col("missed")).alias("over"))
+    items = items.join(F.broadcast(total), "column").select("column", "item", "count_min", (F.col("over") + F.col("all_missed")).alias("count_max"), F.lit(0).cast("long").alias("n"))
+    none = total.select("column", F.lit(None).cast("string").alias("item"), F.lit(0).cast("long").alias("count_min"), F.col("all_missed").alias("count_max"), F.col("all_n").alias("n"))
+    return _kept(items.unionByName(none), capacity)
+
+
+def _kept(rows: DataFrame, capacity: int) -> DataFrame:
+    """The items of largest count_max, the smaller item on ties, and a row that bounds the others.
+
+    Each task keeps capacity rows of a column before any are moved; what it drops is bounded by one row.
+    """
+    order = Window.partitionBy("column").orderBy(F.desc("count_max"), F.desc("count_min"), "item")
+    listed = rows.where("item IS NOT NULL")
+    top = listed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= capacity + 1)
+    missed = top.where(F.col("rank") == capacity + 1).select("column", F.col("count_max").alias("bound"), F.lit(0).cast("long").alias("n"))
+    bounds = missed.unionByName(rows.select("column", F.when(F.col("item").isNull(), F.col("count_max")).otherwise(0).alias("bound"), "n"))
+    bounds = bounds.groupBy("column").agg(F.max("bound").alias("count_max"), F.sum("n").alias("n"))
+    top = top.where(F.col("rank") <= capacity).select("column", "item", "count_min", "count_max")
+    top = top.join(F.broadcast(bounds.select("column", "n")), "column")
+    return top.unionByName(bounds.select("column", F.lit(None).cast("string").alias("item"), F.lit(0).cast("long").alias("count_min"), "count_max", "n"))
+
+
+def frequent(summary: DataFrame, epsilon: float = EPSILON, guaranteed: bool = False) -> DataFrame:
+    """Items of a summary with possibly (or certainly) max(1, epsilon * n) occurrences: column, item, count_min, count_max."""
+    least = F.greatest(F.lit(1), F.floor(F.col("n") * epsilon))
+    rows = summary.where(F.col("item").isNotNull() & (F.col("count_min" if guaranteed else "count_max") >= least))
+    return rows.select("column", "item", "count_min", "count_max")
+
+
+def column_profiles(df: DataFrame, columns: list[str], order: list[str], k: int = TOP, capacity: int = int(math.ceil(1 / EPSILON)) + 1) -> DataFrame:
+    """One row per column, of any type: its profile (of what reads as a number) and top, its k most frequent items as
+    (item, count_min, count_max) from a summary of bounded size."""
+    numbers = df.select(*order, *(F.col(x).try_cast("double").alias(x) for x in columns if x not in order))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count_max"), F.desc("count_min"), "item"))
+    top = sketch(df, columns, capacity).where("item IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= k)
+    top = top.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", cut_text("item").alias("item"), "count_min", "count_max"))), lambda x: x.dropFields("rank")).alias("top"))
+    return profile(numbers, columns, order).join(F.broadcast(top), "column", "left")
+
+
+def cell_profiles(cells: DataFrame, k: int = TOP) -> DataFrame:
+    """Profiles by file and column of a table of cells (file, row, col, name, value): counts and moments of the numbers,
+    and the k most frequent values. One aggregation for any number of files."""
+    x = F.col("value").try_cast("double")
+    v = finite(x)
+    by = ["file", "col", "name"]
+    first = F.min_by(v, F.when(v.isNotNull(), F.col("row")))
+    stats = cells.groupBy(*by).agg(
+        F.count("*").alias("cells"), F.count(v).alias("n"), F.count_if(F.isnan(x)).alias("nan_count"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.avg(v).alias("avg"), F.when(F.count(v) > 0, F.coalesce(F.var_samp(v), F.lit(0.0))).alias("var"), first.alias("first"),
+    )
+    counts = cells.groupBy(*by, "value").agg(F.count("*").alias("count"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "value"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= k).groupBy(*by)
+    top = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", cut_text("value").alias("item"), "count"))), lambda x: x.dropFields("rank")).alias("top"))
+    return stats.join(top, by, "left")
+
+
 def approximate_items(df: DataFrame, column: str, k: int = TOP, epsilon: float = EPSILON) -> DataFrame:
     """The k most frequent items from a mergeable sketch of bounded size: item, count."""
     size = int(math.ceil(1 / epsilon)) + 1

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.scalar import ancestors, extension, file_name, join_path, normalize_path, parent
-from stratum.operators.lineage import cut
+from stratum.operators.lineage import cut, small
 
 LANES, LANE_BITS = 32, 16
 REPORT_SIMILAR = 0.5
@@ -36,9 +36,9 @@ def file_type_table(df: DataFrame, types=FILE_TYPES) -> DataFrame:
 
 
 def classify(df: DataFrame, path: str = "path", types: DataFrame | None = None) -> DataFrame:
-    """All columns and ext, type_name, mime by the path's extension (letter case counts); the type table is broadcast."""
+    """All columns and ext, type_name, mime by the path's extension (letter case counts)."""
     rows = df.withColumn("ext", extension(path))
-    types = F.broadcast(types if types is not None else file_type_table(df))
+    types = small(types) if types is not None else F.broadcast(file_type_table(df))  # a fixed list
     name = F.when(F.col("ext") == "", "Unknown").otherwise(F.coalesce("type_name", F.concat(F.lit("Unknown (."), F.col("ext"), F.lit(")"))))
     return rows.join(types, "ext", "left").withColumn("type_name", name).withColumn("mime", F.coalesce("mime", F.lit(OCTETS)))
 
@@ -116,17 +116,20 @@ def most_similar(lanes: DataFrame, by: str, least: float = REPORT_SIMILAR) -> Da
 
     Files with the same 32 lanes are each other's best and stand for one signature in the rest. Two signatures that
     agree on so many lanes agree on one of the first few (as many as may differ, and one more): candidates come from
-    an equi-join on those lanes and their values, and their lanes are then compared in full.
+    an equi-join of ids on those lanes and their values; each pair is kept once, and its lanes are then compared in full.
     """
     few = min(LANES, LANES - math.ceil(least * LANES) + 1)
     groups = lanes.groupBy("lanes").agg(F.min(by).alias("__rep"), F.count("*").alias("__n"))
     pair = lanes.join(groups.where("__n > 1"), "lanes")
     second = pair.where(F.col(by) != F.col("__rep")).groupBy("lanes").agg(F.min(by).alias("__second"))
     same = pair.join(second, "lanes").select(by, F.when(F.col(by) == F.col("__rep"), F.col("__second")).otherwise(F.col("__rep")).alias("other"), F.lit(1.0).alias("similarity"))
-    values = groups.select("__rep", "__n", "lanes", F.posexplode(F.slice("lanes", 1, few)).alias("__lane", "__value"))
-    left = values.where("__n = 1").select(F.col("__rep").alias("__a"), F.col("lanes").alias("__la"), "__lane", "__value")
-    right = values.select(F.col("__rep").alias("__b"), F.col("lanes").alias("__lb"), "__lane", "__value")
-    pairs = left.join(right, ["__lane", "__value"]).where("__a <> __b").select("__a", "__b", lane_similarity("__la", "__lb").alias("s")).where(F.col("s") >= least)
+    groups = cut(groups)
+    values = groups.select("__rep", "__n", F.posexplode(F.slice("lanes", 1, few)).alias("__lane", "__value"))
+    left = values.where("__n = 1").select(F.col("__rep").alias("__a"), "__lane", "__value")
+    right = values.select(F.col("__rep").alias("__b"), "__lane", "__value")
+    met = left.join(right, ["__lane", "__value"]).where("__a <> __b").select("__a", "__b").distinct()
+    met = met.join(groups.select(F.col("__rep").alias("__a"), F.col("lanes").alias("__la")), "__a").join(groups.select(F.col("__rep").alias("__b"), F.col("lanes").alias("__lb")), "__b")
+    pairs = met.select("__a", "__b", lane_similarity("__la", "__lb").alias("s")).where(F.col("s") >= least)
     best = pairs.groupBy("__a").agg(F.min(F.struct((-F.col("s")).alias("s"), "__b")).alias("x"))
     return same.unionByName(best.select(F.col("__a").alias(by), F.col("x.__b").alias("other"), (-F.col("x.s")).alias("similarity")))
 
@@ -137,7 +140,7 @@ def match_rules(paths: DataFrame, rules: DataFrame, default: str | None = None)
     The path's ancestors are joined to the rules by equality, so no pair of path and rule is compared.
     """
     steps = F.concat(ancestors("path"), F.array("path", F.lit("*")))
-    hits = paths.select("path", F.explode(steps).alias("rule")).join(F.broadcast(rules.select(F.col("path").alias("rule"), "strategy")), "rule")
+    hits = paths.select("path", F.explode(steps).alias("rule")).join(small(rules.select(F.col("path").alias("rule"), "strategy")), "rule")
     best = hits.groupBy("path").agg(F.max_by("strategy", F.struct(F.when(F.col("rule") == "*", -1).otherwise(F.length("rule")), "rule")).alias("strategy"))
     return paths.select("path").join(best, "path", "left").select("path", F.coalesce("strategy", F.lit(default)).alias("strategy"))
 

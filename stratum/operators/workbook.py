@@ -143,7 +143,8 @@ def formula_captions(columns: DataFrame) -> DataFrame:
 
     Captions travel as one map per file: as many entries as its workbook has columns.
     """
-    names = columns.groupBy("file").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\0", "datasource", "column").alias("k"), "caption"))).alias("names"))
+    one = columns.groupBy("file", F.concat_ws("\0", "datasource", "column").alias("k")).agg(F.min("caption").alias("caption"))  # a column may come twice
+    names = one.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "caption"))).alias("names"))
 
     def run(batches):
         for pdf in batches:
@@ -159,12 +160,16 @@ def formula_captions(columns: DataFrame) -> DataFrame:
 
 
 def calculated_tables(columns: DataFrame, formulas: DataFrame) -> DataFrame:
-    """file, datasource, column, table of calculated columns: the one table that all they rest on agree in, else ''."""
+    """file, datasource, column, table of calculated columns: the one table that all they rest on agree in, else ''.
+
+    A calculated column that rests on no column is of no table, and so is what mixes it with others.
+    """
     from stratum.operators.repository import reachable
 
     node = lambda d, k: F.concat_ws("\0", "file", F.concat_ws(".", d, k))
     edges = formulas.select(node("datasource", "column").alias("src"), F.explode("depends_on").alias("x"), "file").select("src", F.concat_ws("\0", "file", "x").alias("dst"))
     tables = columns.where("formula = '' OR formula IS NULL").select(node("datasource", "column").alias("node"), F.coalesce("table", F.lit("")).alias("table"), F.col("datasource").alias("of"))
+    tables = tables.unionByName(formulas.where(F.size("depends_on") == 0).select(node("datasource", "column").alias("node"), F.lit("").alias("table"), F.col("datasource").alias("of")))
     starts = formulas.select("file", "datasource", "column", node("datasource", "column").alias("root"))
     reach = reachable(edges, starts.select("root")).where("root <> node").join(tables, "node")
     one = reach.join(starts, "root").groupBy("root").agg(F.countDistinct("table").alias("n"), F.max("table").alias("t"), F.max((F.col("of") != F.col("datasource")).cast("int")).alias("foreign"))

@@ -121,9 +121,69 @@ def approximate_items(spark, sf_dir):
     return P.approximate_items(table(spark, sf_dir, "lineitem"), "l_returnflag", 3)
 
 
-@query("SELECT p_partkey, CASE WHEN strlen(p_name) <= 8 THEN p_name ELSE substr(p_name, 1, 8) || '...' END AS name FROM part")
+_EMOJI = "\U0001F91A\U0001F3FEa\U0001F91Ae\u0301"
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, substr(p_name, 1, (p_partkey % 9)::INTEGER) || '{_EMOJI}' || p_name AS x FROM part),
+k AS (SELECT p_partkey, x, max(n) AS n FROM (SELECT p_partkey, x, unnest(range(0, 13)) AS n FROM t) WHERE strlen(substring_grapheme(x, 1, n)) <= 12 GROUP BY ALL)
+SELECT p_partkey, CASE WHEN strlen(x) <= 12 THEN x ELSE substring_grapheme(x, 1, n) || '...' END AS name FROM k""")
 def cut_text(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", P.cut_text("p_name", 8).alias("name"))
+    text = F.concat(F.expr("substring(p_name, 1, int(p_partkey % 9))"), F.lit(_EMOJI), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", P.cut_text(text, 12).alias("name"))
+
+
+_HALF = """c{0} AS (SELECT l_suppkey::VARCHAR AS item, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_suppkey::VARCHAR) AS r FROM lineitem WHERE l_linenumber % 2 = {0} GROUP BY 1),
+k{0} AS (SELECT * FROM c{0} WHERE r <= 40), m{0} AS (SELECT coalesce(max(n), 0) AS missed FROM c{0} WHERE r = 41)"""
+_MERGED = f"""WITH {_HALF.format(0)}, {_HALF.format(1)}, b AS (SELECT m0.missed + m1.missed AS missed FROM m0, m1),
+u AS (SELECT item, (coalesce(k0.n, 0) + coalesce(k1.n, 0))::BIGINT AS count_min, (coalesce(k0.n, m0.missed) + coalesce(k1.n, m1.missed))::BIGINT AS count_max
+  FROM k0 FULL JOIN k1 USING (item), m0, m1),
+o AS (SELECT *, row_number() OVER (ORDER BY count_max DESC, count_min DESC, item) AS r FROM u)"""
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    parts = [P.sketch(li.where(F.col("l_linenumber") % 2 == k), ["l_suppkey"], 40) for k in (0, 1)]
+    return P.merge_sketches(*parts, capacity=40)
+
+
+@query(f"""{_MERGED}
+SELECT item, count_min, count_max, (SELECT count(*) FROM lineitem) AS n FROM o WHERE r <= 40
+UNION ALL SELECT NULL, 0, greatest((SELECT missed FROM b), coalesce((SELECT max(count_max) FROM o WHERE r = 41), 0)), (SELECT count(*) FROM lineitem)""")
+def sketch_merge(spark, sf_dir):
+    return _merged(spark, sf_dir).drop("column")
+
+
+@query(f"""{_MERGED}, l AS (SELECT greatest(1, floor(count(*) * 0.008)) AS least FROM lineitem)
+SELECT item, count_min, count_max, count_min >= least AS guaranteed FROM o, l WHERE r <= 40 AND count_max >= least""")
+def sketch_frequent(spark, sf_dir):
+    merged = _merged(spark, sf_dir)
+    sure = P.frequent(merged, 0.008, guaranteed=True).select("item", F.lit(True).alias("sure"))
+    return P.frequent(merged, 0.008).join(sure, "item", "left").select("item", "count_min", "count_max", F.coalesce("sure", F.lit(False)).alias("guaranteed"))
+
+
+@query("""
+WITH u AS (SELECT * FROM (UNPIVOT (SELECT p_partkey, p_size::VARCHAR AS p_size, p_brand::VARCHAR AS p_brand, p_retailprice::VARCHAR AS p_retailprice FROM part) ON p_size, p_brand, p_retailprice INTO NAME c VALUE v)),
+n AS (SELECT c, count(TRY_CAST(v AS DOUBLE)) AS n, min(TRY_CAST(v AS DOUBLE)) AS min, round(avg(TRY_CAST(v AS DOUBLE)), 4) AS avg FROM u GROUP BY c),
+k AS (SELECT c, v, count(*) AS k, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, v) AS r FROM u GROUP BY c, v)
+SELECT n.c AS "column", n.n, n.min, n.avg, string_agg(v || ':' || k, ',' ORDER BY r) AS top FROM n JOIN k ON k.c = n.c AND r <= 5 WHERE n.c <> 'p_retailprice' GROUP BY ALL""")
+def column_profiles(spark, sf_dir):
+    p = P.column_profiles(table(spark, sf_dir, "part"), ["p_size", "p_brand"], ["p_partkey"], 5)
+    return p.select("column", "n", "min", F.round("avg", 4).alias("avg"), F.array_join(F.transform("top", lambda x: F.concat(x.item, F.lit(":"), x.count_max)), ",").alias("top"))
+
+
+@query("""
+WITH c AS (SELECT event_type AS file, 0 AS col, 'user' AS name, event_id AS "row", user_id::VARCHAR AS value FROM events UNION ALL SELECT event_type, 1, 'value', event_id, round(value, 1)::VARCHAR FROM events),
+t AS (SELECT file, col, value, count(*) AS k, row_number() OVER (PARTITION BY file, col ORDER BY count(*) DESC, value) AS r FROM c WHERE value IS NOT NULL GROUP BY file, col, value),
+s AS (SELECT file, col, name, count(*) AS cells, count(TRY_CAST(value AS DOUBLE)) AS n, min(TRY_CAST(value AS DOUBLE)) AS min, max(TRY_CAST(value AS DOUBLE)) AS max, arg_min(TRY_CAST(value AS DOUBLE), "row") AS first FROM c GROUP BY file, col, name)
+SELECT s.file, s.col, any_value(name) AS name, any_value(cells) AS cells, any_value(n) AS n, any_value(min) AS min, any_value(max) AS max, any_value(first) AS first, string_agg(value || ':' || k, ',' ORDER BY r) AS top
+FROM s JOIN t ON t.file = s.file AND t.col = s.col AND r <= 3 GROUP BY s.file, s.col""")
+def cell_profiles(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    cell = lambda col, name, v: F.struct(F.lit(col).alias("col"), F.lit(name).alias("name"), v.cast("string").alias("value"))
+    cells = e.select(F.col("event_type").alias("file"), F.col("event_id").alias("row"), F.inline(F.array(cell(0, "user", F.col("user_id")), cell(1, "value", F.round("value", 1)))))
+    p = P.cell_profiles(cells, 3)
+    return p.select("file", "col", "name", "cells", "n", "min", "max", "first", F.array_join(F.transform("top", lambda x: F.concat(x.item, F.lit(":"), x["count"])), ",").alias("top"))
 
 
 _SPELLED = ("1", " 1", "1 ", "1d", "1.", ".5", "-2e3", "nan", "-nan", "Infinity", "x", "", "+7.25")
@@ -364,11 +424,11 @@ def global_dedup_sample(spark, sf_dir):
     return C.global_dedup_sample(lines(spark, sf_dir), 64)
 
 
-_STORE = f"SELECT sha256(doc_id::VARCHAR) AS cas_hash, seq AS idx, hash AS chunk_hash, (sum(len) OVER (PARTITION BY doc_id ORDER BY seq) - len)::BIGINT AS start, len FROM ({_LINES}) WHERE doc_id % 2 = 0"
+_STORE = f"SELECT sha256(doc_id::VARCHAR) AS cas_hash, seq AS idx, hash AS chunk_hash, (sum(len) OVER (PARTITION BY doc_id ORDER BY seq) - len)::BIGINT AS start, len FROM ({_LINES})"
 
 
 def store_chunks(spark, sf_dir) -> DataFrame:
-    k = lines(spark, sf_dir).where("file_id % 2 = 0").select(S.data_hash(F.col("file_id").cast("string")).alias("cas_hash"), F.col("seq").cast("long").alias("idx"), F.col("hash").alias("chunk_hash"), "len")
+    k = lines(spark, sf_dir).select(S.data_hash(F.col("file_id").cast("string")).alias("cas_hash"), F.col("seq").cast("long").alias("idx"), F.col("hash").alias("chunk_hash"), "len")
     return D.with_offsets(k)
 
 
@@ -378,12 +438,17 @@ def store_offsets(spark, sf_dir):
 
 
 @query(f"""
-WITH s AS ({_STORE}), f AS (SELECT doc_id AS file_id, seq, hash AS chunk_hash FROM ({_LINES}) WHERE doc_id % 2 = 1),
-h AS (SELECT file_id, seq, cas_hash, idx, start, len, seq - idx AS d FROM f JOIN s USING (chunk_hash)),
-i AS (SELECT *, seq - row_number() OVER (PARTITION BY file_id, cas_hash, d ORDER BY seq) AS island FROM h)
+WITH s AS (SELECT *, count(*) OVER (PARTITION BY chunk_hash) AS places, row_number() OVER (PARTITION BY chunk_hash ORDER BY cas_hash, idx) AS place FROM ({_STORE})),
+f AS (SELECT doc_id AS file_id, seq, hash AS chunk_hash FROM ({_LINES})),
+h AS (SELECT file_id, seq, cas_hash, idx, start, len, seq - idx AS d, places FROM f JOIN s USING (chunk_hash) WHERE place <= 8),
+w AS (SELECT DISTINCT file_id, cas_hash, d FROM h WHERE places <= 8),
+hot AS (SELECT DISTINCT chunk_hash FROM s WHERE places > 8),
+t AS (SELECT f.file_id, f.seq, s.cas_hash, s.idx, s.start, s.len, w.d FROM f JOIN hot USING (chunk_hash) JOIN w ON w.file_id = f.file_id JOIN s ON s.cas_hash = w.cas_hash AND s.idx = f.seq - w.d AND s.chunk_hash = f.chunk_hash),
+g AS (SELECT file_id, seq, cas_hash, idx, start, len, d FROM h UNION SELECT * FROM t),
+i AS (SELECT *, seq - row_number() OVER (PARTITION BY file_id, cas_hash, d ORDER BY seq) AS island FROM g)
 SELECT file_id, cas_hash, min(seq)::INTEGER AS first_seq, min(idx) AS first_idx, count(*) AS n_chunks, min(start) AS start, max(start + len) AS "end" FROM i GROUP BY file_id, cas_hash, d, island""")
 def dedup_runs(spark, sf_dir):
-    return D.dedup_runs(lines(spark, sf_dir).where("file_id % 2 = 1"), store_chunks(spark, sf_dir))
+    return D.dedup_runs(lines(spark, sf_dir), store_chunks(spark, sf_dir))
 
 
 @query()
@@ -495,13 +560,12 @@ def greedy_pack(spark, sf_dir):
 
 @query("SELECT doc_id AS file_hash, substr(text, 101, 150) AS part FROM documents WHERE length(text) > 100")
 def reconstruct_range(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    k = fixed(spark, sf_dir)
-    rows = D.slice_ranges(k.select(F.col("file_id").alias("file_hash"), F.col("seq").cast("long").alias("seq"), F.col("hash").alias("cas_hash"), F.lit(0).cast("long").alias("start"), F.col("len").alias("end")), 100, 150)
-    data = C.fixed_chunks(d, "doc_id", "text", 200).select("file_id", "seq", "off").join(d.select(F.col("doc_id").alias("file_id"), "text"), "file_id").select(S.data_hash(F.substring("text", F.col("off") + 1, F.lit(200))).alias("cas_hash"), F.substring("text", F.col("off") + 1, F.lit(200)).alias("piece")).dropDuplicates(["cas_hash"])
-    cut = F.substring("piece", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    parts = rows.join(data, "cas_hash").groupBy("file_hash").agg(F.array_sort(F.collect_list(F.struct("seq", cut.alias("p")))).alias("x"))
-    return parts.select("file_hash", F.array_join(F.transform("x", lambda y: y.p), "").alias("part"))
+    d = table(spark, sf_dir, "documents").where("length(text) > 100").select("doc_id", F.explode(F.sequence(F.lit(0), (F.length("text") - 1).cast("int"), F.lit(200))).alias("off"), "text")
+    k = d.select(F.col("doc_id").alias("file_hash"), F.floor(F.col("off") / 200).alias("seq"), F.encode(F.substring("text", F.col("off") + 1, F.lit(200)), "UTF-32").alias("bytes"))
+    k = k.withColumn("cas_hash", F.sha2("bytes", 256))
+    segments = k.select("file_hash", "seq", "cas_hash", F.lit(0).cast("long").alias("start"), F.octet_length("bytes").cast("long").alias("end"))
+    data = k.select("cas_hash", "bytes").dropDuplicates(["cas_hash"])
+    return D.reconstruct(segments, data, 4 * 100, 4 * 150).select("file_hash", F.decode("bytes", "UTF-32").alias("part"))
 
 
 @query("SELECT sha256(text) AS content, count(*) > 0 AS whole FROM documents WHERE text <> '' GROUP BY 1")
@@ -512,6 +576,99 @@ def clean_and_reconstruct(spark, sf_dir):
     return out.groupBy(F.sha2("bytes", 256).alias("content")).agg((F.count("*") > 0).alias("whole"))
 
 
+def _stored(spark, sf_dir) -> str:
+    """A store of all documents, written to the shared folder and read again."""
+    from stratum.operators.lineage import cut
+
+    k = cut(store_chunks(spark, sf_dir))
+    segments = k.groupBy(F.col("cas_hash").alias("file_hash")).agg(F.lit(0).cast("long").alias("seq"), F.max(F.col("start") + F.col("len")).alias("end"))
+    segments = segments.select("file_hash", "seq", F.col("file_hash").alias("cas_hash"), F.lit(0).cast("long").alias("start"), "end", F.col("end").alias("len"))
+    blocks = k.groupBy("cas_hash").agg(F.count("*").alias("num_chunks"), F.sum("len").alias("bytes"))
+    path = k.inputFiles()[0].rsplit("/", 1)[0] + "-store"
+    I.write_store({"file_segments": segments, "cas_chunks": k, "cas_blocks": blocks, "cas_data": blocks.select("cas_hash")}, path)
+    return path
+
+
+@query(f"""
+WITH k AS ({_STORE}), b AS (SELECT cas_hash, count(*) AS n, sum(len) AS bytes FROM k GROUP BY 1)
+SELECT sum(n)::BIGINT AS n_chunks, sum(bytes)::BIGINT AS bytes, count(*) AS n_blocks, sum(bytes)::BIGINT AS materialized, count(*) AS n_files, true AS same_name FROM b""")
+def store_round_trip(spark, sf_dir):
+    """A store written and read: its totals, and whether its name is that of what was written."""
+    store = I.read_store(spark, _stored(spark, sf_dir))
+    totals = D.store_totals(store["cas_blocks"].withColumn("bytes_on_disk", F.lit(0)), store["file_segments"])
+    same = I.store_name(store["cas_chunks"], ["cas_hash", "idx", "chunk_hash"]) == I.store_name(store_chunks(spark, sf_dir), ["cas_hash", "idx", "chunk_hash"])
+    return totals.select("n_chunks", F.col("stored").alias("bytes"), "n_blocks", "materialized", "n_files", F.lit(same).alias("same_name"))
+
+
+_SHARDS = "SELECT (o_custkey % 40)::VARCHAR AS shard, o_custkey % 40 AS mtime, o_orderkey % 500 AS k, count(*) AS v FROM orders GROUP BY ALL"
+
+
+@query(f"""
+WITH RECURSIVE r AS ({_SHARDS}), s AS (SELECT shard, mtime, count(*) AS size FROM r GROUP BY ALL), o AS (SELECT *, row_number() OVER (ORDER BY mtime) AS i FROM s),
+g AS (SELECT shard, i, size AS total, 0 AS bin FROM o WHERE i = 1 UNION ALL SELECT o.shard, o.i, CASE WHEN g.total >= 600 THEN o.size ELSE g.total + o.size END, CASE WHEN g.total >= 600 THEN g.bin + 1 ELSE g.bin END FROM g JOIN o ON o.i = g.i + 1),
+d AS (SELECT DISTINCT bin, k FROM r JOIN g USING (shard))
+SELECT n_keys, count(*) AS n_shards FROM (SELECT bin, count(*) AS n_keys FROM d GROUP BY bin) GROUP BY n_keys""")
+def store_compaction(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select((F.col("o_custkey") % 40).cast("string").alias("shard"), (F.col("o_custkey") % 40).alias("mtime"), (F.col("o_orderkey") % 500).alias("k")).distinct()
+    shards = rows.groupBy("shard", "mtime").agg(F.count("*").alias("size"))
+    merged = D.compacted(rows.drop("mtime"), D.compact(shards, 600), ["k"])
+    return merged.groupBy("shard").agg(F.count("*").alias("n_keys")).groupBy("n_keys").agg(F.count("*").alias("n_shards"))
+
+
+@query(f"""
+WITH k AS ({_STORE}), f AS (SELECT doc_id, min(hash) AS h FROM ({_LINES}) WHERE doc_id % 3 = 0 GROUP BY doc_id)
+SELECT 'd' || doc_id AS path, sum(k.len)::BIGINT AS bytes, (sum(k.len) FILTER (idx % 2 = 0))::BIGINT AS new_bytes FROM ({_LINES}) JOIN k ON k.cas_hash = sha256(doc_id::VARCHAR) AND k.idx = seq GROUP BY doc_id""")
+def file_coverage(spark, sf_dir):
+    """How many bytes of each file lie in blocks that are new; here every other chunk is a block of its own."""
+    k = lines(spark, sf_dir)
+    usage = k.select(F.col("file_id").cast("string").alias("oid"), F.concat_ws("-", "file_id", "seq").alias("cas_hash"), F.col("len").alias("bytes"))
+    changed = k.select(F.concat(F.lit("d"), F.col("file_id").cast("string")).alias("path"), F.col("file_id").cast("string").alias("oid")).distinct()
+    new = k.where("seq % 2 = 0").select(F.concat_ws("-", "file_id", "seq").alias("cas_hash"))
+    return R.file_coverage(changed, usage, new)
+
+
+@query("SELECT c_custkey::VARCHAR AS path, CASE WHEN c_custkey % 2 = 0 THEN 'stored' WHEN c_custkey % 3 = 0 THEN 'computed' END AS summary FROM customer WHERE c_custkey >= 5")
+def summary_fallback(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), "c_custkey", F.col("c_custkey").alias("file_hash"), F.col("c_custkey").alias("oid"))
+    files = I.large_enough(c, "c_custkey", 5)
+    stored = c.where("c_custkey % 2 = 0").select("file_hash", F.lit("stored").alias("summary"))
+    return U.summary_for(files, stored, c.where("c_custkey % 3 = 0").select("oid", F.lit("computed").alias("summary")))
+
+
+@query("SELECT 'le' AS kind, o_orderpriority || ', ' || count(*) || ', ' AS value FROM orders GROUP BY o_orderpriority")
+def text_lines(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")).select("o_orderpriority", "n", F.lit(None).cast("string").alias("x"))
+    return I.to_text(o).select(F.lit("le").alias("kind"), "value")
+
+
+@query("""
+SELECT 'orders{priority=' || o_orderpriority || ',status=' || o_orderstatus || '}' AS name, count(*)::DOUBLE AS value FROM orders GROUP BY o_orderpriority, o_orderstatus
+UNION ALL SELECT 'prices.le_' || b || '.0', count(*)::DOUBLE FROM orders, (VALUES (1000), (100000), (200000)) t(b) WHERE o_totalprice <= b GROUP BY b""")
+def flat_metrics(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    counted = o.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("value"))
+    label = F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority")
+    counted = counted.select(F.lit("orders").alias("name"), label.alias("labels"), "value", F.lit(None).cast("map<double,bigint>").alias("buckets"))
+    below = F.map_from_arrays(F.array(*(F.lit(float(b)) for b in (1000, 100000, 200000))), F.array(*(F.count_if(F.col("o_totalprice") <= b) for b in (1000, 100000, 200000))))
+    spread = o.agg(below.alias("buckets")).select(F.lit("prices").alias("name"), F.expr("map()").cast("map<string,string>").alias("labels"), F.lit(None).cast("long").alias("value"), F.map_filter("buckets", lambda _, n: n > 0).alias("buckets"))
+    return I.flatten_metrics(counted.unionByName(spread), buckets="buckets")
+
+
+@query("""
+WITH p AS (SELECT sha256('h' || h || '#' || k) AS place, 'h' || h AS host FROM range(5) t(h), range(64) u(k)),
+f AS (SELECT c_custkey, min(place) AS place FROM customer LEFT JOIN p ON place >= sha256(c_custkey::VARCHAR) GROUP BY c_custkey)
+SELECT c_custkey, coalesce(host, (SELECT arg_min(host, place) FROM p)) AS host FROM f LEFT JOIN p USING (place)""")
+def hash_ring(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", S.server_of(F.col("c_custkey").cast("string"), [f"h{k}" for k in range(5)]).alias("host"))
+
+
+@query("SELECT DISTINCT l_returnflag, CASE l_returnflag WHEN 'R' THEN 'LZ4' WHEN 'N' THEN 'NONE' END AS scheme FROM lineitem")
+def compression_schemes(spark, sf_dir):
+    spelled = F.when(F.col("l_returnflag") == "R", " lz4").when(F.col("l_returnflag") == "N", "None").otherwise(F.col("l_returnflag"))
+    return table(spark, sf_dir, "lineitem").select("l_returnflag").distinct().select("l_returnflag", S.compression_scheme(spelled).alias("scheme"))
+
+
 @query("SELECT o_orderkey, substr(o_orderpriority, 3, 4) AS bytes, 2 + 4 >= length(o_orderpriority) AS eof FROM orders")
 def paged_read(spark, sf_dir):
     p = S.paged(F.encode("o_orderpriority", "UTF-8"), F.lit(2), F.lit(4))
@@ -520,12 +677,12 @@ def paged_read(spark, sf_dir):
 
 @query(f"""
 WITH k AS ({_LINES}), last AS (SELECT hash, arg_max('s' || (doc_id % 9), doc_id * 1000 + seq) AS shard FROM k GROUP BY hash)
-SELECT doc_id AS file_id, seq::INTEGER AS seq, shard FROM k JOIN last USING (hash) WHERE seq = 0""")
+SELECT doc_id AS file_id, seq::INTEGER AS seq, shard FROM k JOIN last USING (hash) WHERE seq = 0 OR ('0x' || substr(hash, 62, 3))::INTEGER % 64 = 0""")
 def global_lookup(spark, sf_dir):
     k = lines(spark, sf_dir)
     salt = b"\1" * 32
     known = k.select(S.salted("hash", F.lit(salt)).alias("salted_hash"), F.concat(F.lit("s"), (F.col("file_id") % 9).cast("string")).alias("shard"), (F.col("file_id") * 1000 + F.col("seq")).alias("seq"))
-    return D.global_lookup(known, k.where("seq = 0"), salt).select("file_id", "seq", "shard")
+    return D.global_lookup(known, C.global_dedup_sample(k, 64), salt).select("file_id", "seq", "shard")
 
 
 @query()
@@ -538,9 +695,26 @@ def merkle_edges(spark, sf_dir):
     return M.merkle_edges(lines(spark, sf_dir))
 
 
-@query("SELECT rule, node FROM (VALUES ('', '')) t(rule, node) WHERE rule = 'x'")
+#: A tree of its own for each customer: three children, whose hash is right, or not, or whose positions have a gap, or one of which has two sizes.
+_TREES = """SELECT c_custkey, k AS pos, sha256('leaf' || c_custkey || '-' || k) AS child, 10 + k + CASE WHEN c_custkey % 5 = 3 AND k = 3 THEN 1 ELSE 0 END AS child_len FROM customer, (VALUES (0), (1), (2)) t(k)"""
+
+
+@query(f"""
+WITH e AS ({_TREES}), p AS (SELECT c_custkey, sha256(string_agg(child || ' : ' || child_len || chr(10), '' ORDER BY pos)) AS h FROM e GROUP BY c_custkey)
+SELECT 'hash' AS rule, CASE WHEN c_custkey % 5 = 1 THEN sha256(h) END AS node FROM p WHERE c_custkey % 5 = 1
+UNION ALL SELECT 'positions', h FROM p WHERE c_custkey % 5 = 2
+UNION ALL SELECT 'size', sha256('leaf' || c_custkey || '-0') FROM customer WHERE c_custkey % 5 = 3
+UNION ALL SELECT 'hash', sha256('other' || c_custkey) FROM customer WHERE c_custkey % 5 = 3""")
 def merkle_violations(spark, sf_dir):
-    return M.violations(M.merkle_edges(lines(spark, sf_dir)))
+    key = F.col("c_custkey").cast("string")
+    leaf = lambda k: F.struct(F.lit(k).alias("pos"), F.sha2(F.concat(F.lit("leaf"), key, F.lit(f"-{k}")), 256).alias("child"), F.lit(10 + k).cast("long").alias("child_len"))
+    trees = table(spark, sf_dir, "customer").select("c_custkey", F.array(*(leaf(k) for k in range(3))).alias("kids"))
+    text = F.array_join(F.transform("kids", lambda x: F.concat(x.child, F.lit(" : "), x.child_len.cast("string"), F.lit("\n"))), "")
+    kind = F.col("c_custkey") % 5
+    edges = trees.withColumn("parent", F.when(kind == 1, F.sha2(F.sha2(text, 256), 256)).otherwise(F.sha2(text, 256))).select("c_custkey", "parent", F.inline("kids"))
+    edges = edges.withColumn("pos", F.col("pos") + F.when((kind == 2) & (F.col("pos") == 2), 1).otherwise(0)).select("c_custkey", "parent", "pos", "child", "child_len")
+    twice = edges.where((kind == 3) & (F.col("pos") == 0)).select("c_custkey", F.sha2(F.concat(F.lit("other"), key), 256).alias("parent"), "pos", "child", (F.col("child_len") + 1).alias("child_len"))
+    return M.violations(edges.unionByName(twice).drop("c_custkey"))
 
 
 @query(f"SELECT doc_id AS file_id, count(*) AS n, sum(len)::BIGINT AS bytes FROM ({_LINES}) GROUP BY 1 HAVING count(*) > 1")

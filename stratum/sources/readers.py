@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -173,18 +174,31 @@ def directory_size(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
-def write_store(tables: dict[str, DataFrame], path: str, partitions: int | None = None) -> None:
-    """Each table sorted by its hash within ranges of hashes, so that lookups read few row groups."""
-    keys = {"file_segments": ["file_hash", "seq"], "cas_chunks": ["cas_hash", "idx"], "cas_blocks": ["cas_hash"], "cas_data": ["cas_hash"]}
+STORE_KEYS = {"file_segments": ["file_hash", "seq"], "cas_chunks": ["cas_hash", "idx"], "cas_blocks": ["cas_hash"], "cas_data": ["cas_hash"]}
+
+
+def write_store(tables: dict[str, DataFrame], path: str, partitions: int | None = None, rows_per_file: int = 4_000_000) -> None:
+    """Each table sorted by its hash within ranges of hashes, so that lookups read few row groups.
+
+    A file is closed at so many rows. A table appears as a whole, when its job commits.
+    """
     for name, df in tables.items():
-        if name in keys:
-            by = keys[name]
+        if name in STORE_KEYS:
+            by = STORE_KEYS[name]
             df = (df.repartitionByRange(partitions, by[0]) if partitions else df.repartitionByRange(by[0])).sortWithinPartitions(*by)
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/{name}")
+
 
+def store_name(table: DataFrame, key: list[str]) -> str:
+    """A name from what a table holds, whatever the order of its rows: one aggregation."""
+    r = table.select(F.xxhash64(*key).cast("decimal(38,0)").alias("a"), F.xxhash64(*key, F.lit(1)).cast("decimal(38,0)").alias("b")).agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    return hashlib.sha256(f"{r.n}:{r.a}:{r.b}".encode()).hexdigest()
 
-def read_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("file_segments", "cas_chunks", "cas_blocks", "cas_data")}
+
+def read_store(spark: SparkSession, path: str, names: Iterable[str] = tuple(STORE_KEYS)) -> dict[str, DataFrame]:
+    """The tables of one store, or with a pattern for path ('stores/*') of all stores, a column store saying whose rows they are."""
+    out = {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    return out if "*" not in path else {n: df.withColumn("store", F.regexp_extract(F.input_file_name(), f"([^/]+)/{n}/[^/]*$", 1)) for n, df in out.items()}
 
 
 def append_notes(df: DataFrame, path: str) -> None:
@@ -197,6 +211,22 @@ def to_json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
+def to_text(df: DataFrame, sep: str = ", ") -> DataFrame:
+    """Each row as a line of text, its columns with a separator between; nulls are empty."""
+    return df.select(F.concat_ws(sep, *(F.coalesce(F.col(x).cast("string"), F.lit("")) for x in df.columns)).alias("value"))
+
+
+def flatten_metrics(df: DataFrame, name: str = "name", labels: str = "labels", value: str = "value", buckets: str | None = None) -> DataFrame:
+    """(name, value) of metrics: labels (a map) behind the name, by key; a histogram's buckets (bound to count) one by one."""
+    text = F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e.key, F.lit("="), e.value)), ",")
+    whole = F.concat(F.col(name), F.when(F.size(labels) > 0, F.concat(F.lit("{"), text, F.lit("}"))).otherwise(""))
+    plain = df.where(F.col(value).isNotNull()).select(whole.alias("name"), F.col(value).cast("double").alias("value"))
+    if not buckets:
+        return plain
+    each = df.where(F.col(buckets).isNotNull()).select(whole.alias("name"), F.explode(buckets).alias("bound", "count"))
+    return plain.unionByName(each.select(F.concat("name", F.lit(".le_"), F.col("bound").cast("string")).alias("name"), F.col("count").cast("double").alias("value")))
+
+
 def export_standalone(segments: DataFrame, chunks: DataFrame, file_hash: str) -> DataFrame:
     """All rows that one file needs, as one table (kind, json), which import_standalone() takes back."""
     s = segments.where(F.col("file_hash") == file_hash)

@@ -1,5 +1,7 @@
 """Operators of the engine against small reference models, properties and case tables."""
 
+import collections
+import json
 import math
 import random
 import statistics
@@ -329,3 +331,71 @@ def test_queries_agree_with_sql(spark, name):
     out = con.execute(SQL[name])
     at = [x[0] for x in out.description]
     assert got == sorted(repr([norm(r[at.index(c)]) for c in cols]) for r in out.fetchall())
+
+
+def test_graphemes_stay_whole(spark):
+    s = "\U0001F91A\U0001F3FEa\U0001F91A "
+    df = spark.createDataFrame([(s,)], "x string")
+    for limit, kept in ((0, ""), (7, ""), (8, s[:2]), (9, s[:3]), (10, s[:3]), (18, s)):
+        want = kept if kept == s or len(s.encode()) <= limit else kept + "..."
+        assert df.select(P.cut_text("x", limit).alias("y")).first().y == want
+
+
+def test_sketch_ranges_hold(spark):
+    rng = random.Random(3)
+    values = [min(int(rng.paretovariate(0.8)), 400) for _ in range(4000)]
+    parts = [values[k::3] for k in range(3)]
+    true = collections.Counter(map(str, values))
+    merged = P.merge_sketches(*(P.sketch(spark.createDataFrame([(v,) for v in p], "v int"), ["v"], 15) for p in parts), capacity=15)
+    rows = {r["item"]: r for r in merged.collect()}
+    assert len(rows) == 16 and all(r["n"] == 4000 for r in rows.values())
+    assert all(r.count_min <= true[i] <= r.count_max for i, r in rows.items() if i is not None)
+    assert all(n <= rows[None].count_max for i, n in true.items() if i not in rows)
+    sure = {r["item"] for r in P.frequent(merged, 0.05, guaranteed=True).collect()}
+    assert sure <= {i for i, n in true.items() if n >= 200} <= {r["item"] for r in P.frequent(merged, 0.05).collect()}
+    exact = P.sketch(spark.createDataFrame([(v,) for v in values], "v int"), ["v"])
+    assert {r["item"]: r.count_min for r in exact.collect() if r["item"]} == dict(true)
+    assert P.sketch(spark.createDataFrame([], "v int"), ["v"]).count() == 0
+
+
+def test_runs_through_a_very_common_chunk(spark):
+    files = [(f, k, "blank" if k % 3 == 1 else f"{f % 5}-{k}") for f in range(40) for k in range(9)] + [(99, k, "blank") for k in range(4)]
+    left = spark.createDataFrame(files, "file_id long, seq int, hash string")
+    store = left.select(F.concat(F.lit("b"), F.lpad(F.col("file_id").cast("string"), 2, "0")).alias("cas_hash"), F.col("seq").cast("long").alias("idx"), F.col("hash").alias("chunk_hash"), (F.col("seq") * 10).cast("long").alias("start"), F.lit(10).cast("long").alias("len"))
+    runs = D.dedup_runs(left, store.where("cas_hash < 'b07' OR cas_hash = 'b99'"))
+    got = {(r.file_id, r.cas_hash, r.first_seq, r.n_chunks) for r in runs.collect()}
+    assert {(f, f"b0{f % 5}", 0, 9) for f in range(40)} <= got  # whole files, through the blank lines
+    hot = D.dedup_runs(left, store)
+    assert hot.where("n_chunks = 1").groupBy("file_id", "first_seq").count().agg(F.max("count")).first()[0] <= 8
+    assert hot.where("file_id = 99").count() <= 4 * 8
+
+
+def test_captions_given_twice(spark):
+    cols = spark.createDataFrame([("f", "d", "[a]", "A", "", "t"), ("f", "d", "[a]", "B", "", "t"), ("f", "d", "[k]", "K", "1 + 2", ""), ("f", "d", "[s]", "S", "[a] + [k]", ""), ("f", "d", "[u]", "U", "[a] * 2", "")], "file string, datasource string, column string, caption string, formula string, table string")
+    text = W.formula_captions(cols)
+    assert {r["column"]: r.formula_text for r in text.collect()} == {"[k]": "1 + 2", "[s]": "[A] + [K]", "[u]": "[A] * 2"}
+    assert {r["column"]: r["table"] for r in W.calculated_tables(cols, text).collect()} == {"[k]": "", "[s]": "", "[u]": "t"}
+
+
+def test_rings_and_exports(spark, tmp_path):
+    df = spark.range(300).select(F.col("id").cast("string").alias("k"))
+    hosts = ["a", "b", "c"]
+    whole = {r.k: r.h for r in df.select("k", S.server_of("k", hosts).alias("h")).collect()}
+    less = {r.k: r.h for r in df.select("k", S.server_of("k", hosts[:2]).alias("h")).collect()}
+    assert set(whole.values()) == set(hosts) and all(less[k] == h for k, h in whole.items() if h != "c")
+    with pytest.raises(ValueError):
+        S.ring([])
+    seg = spark.createDataFrame([("f1", 0, "c1", 0, 5), ("f2", 0, "c2", 0, 5)], "file_hash string, seq long, cas_hash string, start long, end long")
+    ch = spark.createDataFrame([("c1", 0, "h1"), ("c2", 0, "h2")], "cas_hash string, idx long, chunk_hash string")
+    out = I.export_standalone(seg, ch, "f1")
+    assert [tuple(r) for r in I.import_standalone(out, "segment", "file_hash string, seq long, cas_hash string, start long, end long").collect()] == [("f1", 0, "c1", 0, 5)]
+    assert [r.chunk_hash for r in I.import_standalone(out, "chunk", "cas_hash string, idx long, chunk_hash string").collect()] == ["h1"]
+    for name in ("s1", "s2"):
+        I.write_store({"cas_chunks": ch, "file_segments": seg}, str(tmp_path / name), rows_per_file=1)
+    many = I.read_store(spark, str(tmp_path / "*"), ["cas_chunks"])["cas_chunks"]
+    assert sorted((r.store, r.cas_hash) for r in many.collect()) == [(s, k) for s in ("s1", "s2") for k in ("c1", "c2")]
+    assert I.store_name(ch, ["cas_hash", "idx"]) == I.store_name(ch.orderBy(F.desc("idx")).repartition(3), ["cas_hash", "idx"]) != I.store_name(ch.limit(1), ["cas_hash", "idx"])
+    I.append_notes(ch, str(tmp_path / "notes"))
+    I.append_notes(ch.limit(1), str(tmp_path / "notes"))
+    assert spark.read.parquet(str(tmp_path / "notes")).count() == 3
+    assert [json.loads(r.value)["idx"] for r in I.to_json_lines(ch).collect()] == [0, 0]
