@@ -3,14 +3,16 @@
 Every place of a text gives the hash of the two words that start there; those of all templates are joined to
 them. A hit at word p of a text and word q of a template votes for diagonal p - q. Diagonals that lie within a
 few words of each other are merged, so that an inserted or dropped word does not split a notice, and what is
-left is verified: a span counts if enough of the template's word pairs were found on it. Base phrases are exact:
-all pairs, on one diagonal.
+left is verified: a span counts if enough of the template's word pairs were found on it, and no more than twice the
+template's words apart (diagonals that follow one another can wander off). Base phrases are exact: all pairs, on one
+diagonal.
 
 Templates are a fixed list, far below any broadcast limit. The only shuffles carry one narrow row per document
 and one per hit; texts are read once and never moved.
 
 Cases: null and empty texts give zero counts and empty labels; repeated rows give repeated results (rows are
-grouped by id, text hash and their number); a null id is an id of its own; other columns are ignored.
+grouped by id, text hash and their number); very long texts are scanned whole; a null id is an id of its own; an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -78,10 +80,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     near = (F.col("t_base") == 0) & (F.col("diagonal") - F.lag("diagonal").over(along) <= DRIFT)
     merged = diagonals.withColumn("apart", F.when(near, 0).otherwise(1)).withColumn("span", F.sum("apart").over(along))
     spans = merged.groupBy(*by, "tid", "t_pairs", "t_base", "label", "span").agg(
-        F.max("n").alias("n"), F.min("start").cast("long").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("found")
+        F.max("n").alias("n"), F.min("start").cast("long").alias("start"), F.max("stop").alias("stop"), F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("found")
     )
     share = F.col("found") / F.col("t_pairs")
-    good = F.when(F.col("t_base") == 1, F.col("found") == F.col("t_pairs")).otherwise(share >= COVERED)
+    good = F.when(F.col("t_base") == 1, F.col("found") == F.col("t_pairs")).otherwise((share >= COVERED) & (F.col("stop") - F.col("start") < 2 * (F.col("t_pairs") + 1)))
     base = good & (F.col("t_base") == 1)
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     out = spans.groupBy(*by).agg(
@@ -108,16 +110,16 @@ texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPE
 places AS (SELECT doc_id, unnest(words) AS x, generate_subscripts(words, 1) - 1 AS p FROM texts),
 grams AS (SELECT doc_id, p, x, lead(x) OVER (PARTITION BY doc_id ORDER BY p) AS y FROM places),
 diagonals AS (
-  SELECT doc_id, tid, t_pairs, t_base, label, p - q AS diagonal, min(p) AS start, list(DISTINCT q) AS qs
+  SELECT doc_id, tid, t_pairs, t_base, label, p - q AS diagonal, min(p) AS start, max(p) AS stop, list(DISTINCT q) AS qs
   FROM grams JOIN pairs ON x = a AND y = b GROUP BY ALL),
 marked AS (
   SELECT *, CASE WHEN t_base = 0 AND diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) <= {DRIFT} THEN 0 ELSE 1 END AS apart FROM diagonals),
 merged AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS span FROM marked),
 spans AS (
-  SELECT doc_id, tid, t_pairs, t_base, label, span, min(start) AS start, len(list_distinct(flatten(list(qs)))) AS found FROM merged GROUP BY ALL),
+  SELECT doc_id, tid, t_pairs, t_base, label, span, min(start) AS start, max(stop) AS stop, len(list_distinct(flatten(list(qs)))) AS found FROM merged GROUP BY ALL),
 good AS (
   SELECT *, found::DOUBLE / t_pairs AS share FROM spans
-  WHERE CASE WHEN t_base = 1 THEN found = t_pairs ELSE found::DOUBLE / t_pairs >= {COVERED} END),
+  WHERE CASE WHEN t_base = 1 THEN found = t_pairs ELSE found::DOUBLE / t_pairs >= {COVERED} AND stop - start < 2 * (t_pairs + 1) END),
 each AS (
   SELECT doc_id, count(*) FILTER (t_base = 1) AS n_base, min(start) FILTER (t_base = 1) AS first_word, max(start) FILTER (t_base = 1) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (t_base = 1) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score

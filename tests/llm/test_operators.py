@@ -142,6 +142,10 @@ def test_licenses(spark, awkward):
         assert tuple(by[i])[1:6] == plain_licenses(t)
         assert set(filter(None, by[i].base_labels.split(","))) <= set(by[i].labels.split(",")) and 0 <= by[i].score <= 1
     assert by[len(awkward) + 1].labels == "apache-2.0" and by[len(awkward) + 4].labels == "mit"
+    words = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split()
+    near, far = " x ".join(" ".join(words[i : i + 4]) for i in range(0, 20, 4)), " x y ".join(" ".join(words[i : i + 2]) for i in range(0, 20, 1))
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(frame(spark, [" ".join(words), near, far])).collect()}
+    assert got[0] == "mit" and got[2] == ""  # pieces of the notice that wander off are none
     assert license_scan.scan_licenses(frame(spark, [])).count() == 0
 
 
