@@ -56,9 +56,16 @@ def discard(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a materialized table for broadcast if it has few rows, else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, weight=None) -> DataFrame:
+    """Mark a materialized table for broadcast if it has few rows, else leave the join to a shuffle.
+
+    Rows of no fixed size need a weight: how many rows of a fixed size each counts for.
+    """
+    if weight is None:
+        few = df.limit(rows + 1).count() <= rows
+    else:
+        few = (df.agg(F.sum(weight).alias("n")).first().n or 0) <= rows
+    return F.broadcast(df) if few else df
 
 
 def text_hash(col: str = "text"):

@@ -44,7 +44,7 @@ WORD = re.compile(r"\w+")
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Members of a side of a block; of a lane of a hub; of a bucket that joins by broadcast.
-BLOCK, LANE, HOT = 192, 2000, 100_000
+BLOCK, LANE, HOT = 192, 256, 100_000
 REMEMBERED = 200_000
 U = np.uint64
 GOLD, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -178,7 +178,7 @@ def send_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, weighted:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s, c], [*batch.schema.names[:-1], "s", "c"])
 
     texts = docs.select(F.col(key).alias("doc_key"), text_hash(text).alias("doc_hash"), F.col(text).alias("text"))
-    wanted = bounded_broadcast(wanted)
+    wanted = bounded_broadcast(wanted, weight=F.size("targets") + 4)
     rows = texts.join(wanted, (F.col("doc_hash") == F.col("h")) & F.col("doc_key").eqNullSafe(F.col("id"))).select(*(f.name for f in rest), "text")
     schema = T.StructType([*rest, T.StructField("s", T.BinaryType()), T.StructField("c", T.BinaryType())])
     return rows.mapInArrow(releasing(run), schema).withColumn("target", F.explode("targets")).drop("targets").select("*", "target.*").drop("target")

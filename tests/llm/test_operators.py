@@ -443,6 +443,16 @@ def test_small_limits_lose_no_link(spark, copies, monkeypatch, block, lane, hot)
     assert [got[i] for i in ids] == plain_groups(ids, copies)
 
 
+def test_near_duplicates_without_broadcasts(spark, copies, monkeypatch):
+    """Beyond the bounds of broadcasts the same joins run as shuffles."""
+    monkeypatch.setattr(near_dedup, "bounded_broadcast", lambda df, *_, **__: df)
+    monkeypatch.setattr(near_dedup, "HOT", 2)
+    ids = list(range(len(copies)))
+    docs = frame(spark, copies).union(frame(spark, [None], [None]))
+    assert {r.id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == dict(zip(ids, plain_groups(ids, copies))) | {None: None}
+    assert near_dedup.drop_near_duplicates(docs).count() == len(set(plain_groups(ids, copies))) + 1
+
+
 def test_one_hot_bucket_of_distinct_texts(spark, monkeypatch):
     """Texts that share a long passage fill the same buckets; only those that are similar enough are linked."""
     for name, value in (("BLOCK", 8), ("LANE", 5), ("HOT", 10)):
