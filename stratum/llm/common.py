@@ -73,6 +73,22 @@ def text_hash(col: str = "text"):
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
 
 
+def first_by_hash(rows: DataFrame, per_class: int) -> DataFrame:
+    """Of rows with a class y and a hash o, distinct ones of the per_class smallest o of each class.
+
+    Hashes are even, so about four times as many as are asked for lie below a limit that the number of different ones
+    gives; the others are left out before any rows of a class meet.
+    """
+    different = rows.groupBy("y").agg(F.approx_count_distinct("o").alias("d")).collect()  # one row for each class
+    if not different:
+        return rows.limit(0)
+    limit = lambda d: int(-(2**63) + (2**64 - 1) * min(1.0, 4 * per_class / max(1, d))) if 4 * per_class < d else 2**63 - 1
+    few = F.broadcast(rows.sparkSession.createDataFrame([(r.y, limit(r.d)) for r in different], f"y {rows.schema['y'].dataType.simpleString()}, most long"))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("o"))
+    near = rows.join(few, "y").where("o <= most").select(*rows.columns).distinct()
+    return near.withColumn("r", rank).where(F.col("r") <= per_class).drop("r")
+
+
 def bounded_sample(rows: DataFrame, per_class: int, most_bytes: int, seed: int) -> tuple[list[str], list]:
     """Texts and classes of a sample of rows (id, y, t) for a classifier: the first distinct ones by a hash of id and text.
 
@@ -80,9 +96,7 @@ def bounded_sample(rows: DataFrame, per_class: int, most_bytes: int, seed: int)
     however often ids and rows repeat and however long texts are.
     """
     marked = rows.select("y", F.xxhash64("id", "t", F.lit(seed)).alias("o"), F.coalesce("t", F.lit("")).alias("t"))
-    narrow = marked.select("y", "o", F.octet_length("t").alias("n")).distinct()
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("o"))
-    first = narrow.withColumn("r", rank).where(F.col("r") <= per_class).select("y", "o", "n").toArrow().sort_by([("y", "ascending"), ("o", "ascending")])
+    first = first_by_hash(marked.select("y", "o", F.octet_length("t").alias("n")), per_class).toArrow().sort_by([("y", "ascending"), ("o", "ascending")])
     share, cuts, used = most_bytes // max(1, len(first["y"].unique())), {}, {}
     for y, o, n in zip(*(first[c].to_pylist() for c in ("y", "o", "n"))):
         used[y] = used.get(y, 0) + n

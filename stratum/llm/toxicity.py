@@ -20,10 +20,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pieces, bounded_sample
+from .common import arrow_pieces, bounded_sample, first_by_hash
 
 WORD = re.compile(r"\w+")
 BUCKETS, GRAMS, WIDTH = 1 << 18, (2, 3, 4), 8
@@ -176,8 +176,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per
     At most per_class ids of each label are drawn first, so they are broadcast and no text is shuffled.
     """
     rows = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(allowed(F.col("id")))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(41)), "id"))
-    drawn = rows.distinct().withColumn("r", rank).where(F.col("r") <= per_class).select("id", "y")
+    drawn = first_by_hash(rows.withColumn("o", F.xxhash64("id", F.lit(41))), per_class).select("id", "y")
     found = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(drawn), "id")
     texts, y = bounded_sample(found, per_class, most_bytes, 41)
     return texts, np.array(y, np.int64)

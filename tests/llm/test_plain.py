@@ -192,6 +192,9 @@ def test_samples_are_bounded(spark):
     texts, y = bounded_sample(df, 1000, 4000, 1)
     assert 3000 < sum(map(len, texts)) <= 4000 and set(y) == {0, 1}
     assert bounded_sample(df.limit(0), 5, 100, 1) == ([], [])
+    many = spark.range(20_000).selectExpr("id", "int(id % 2) AS y", "string(id) AS t")
+    texts, y = bounded_sample(many.union(many).repartition(7), 50, 1 << 30, 1)
+    assert y.count(0) == y.count(1) == 50 and len(set(texts)) == 100
 
 
 OPERATORS = {
