@@ -89,6 +89,21 @@ def commit_stats(before: DataFrame, after: DataFrame, usage: DataFrame) -> DataF
     )
 
 
+def block_usage(segments: DataFrame, by: str = "oid") -> DataFrame:
+    """by, cas_hash, bytes: how much of each block a file's segments (start, end) use; combined map-side."""
+    return segments.groupBy(by, "cas_hash").agg(F.sum(F.col("end") - F.col("start")).alias("bytes"))
+
+
+def transaction(tree: DataFrame, log: DataFrame, cancelled: bool = False) -> DataFrame:
+    """The tree after a log of operations as a whole, or as it was: if the log is cancelled, or if an operation's source
+    is not in the tree."""
+    if not cancelled:
+        needed = log.where("op IN ('delete', 'copy', 'move')").select(F.col("src").alias("path"))
+        if not needed.join(tree.select("path"), "path", "left_anti").limit(1).count():
+            return apply_log(tree, log)
+    return tree.select("path", "oid", "size")
+
+
 def file_coverage(changed: DataFrame, usage: DataFrame, new_blocks: DataFrame) -> DataFrame:
     """path, bytes, new_bytes of changed files (path, oid)."""
     marked = changed.join(usage, "oid").join(new_blocks.select("cas_hash").distinct().withColumn("new", F.lit(1)), "cas_hash", "left")

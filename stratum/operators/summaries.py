@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Codes of failed diffs.
 ERRORS = {"invalid_arguments": 1, "before_not_found": 2, "after_not_found": 3, "no_summaries": 4, "same_hash": 5, "not_in_repository": 6, "too_large": 7, "internal": 255}
 TYPES = ("csv", "libmagic", "twb", "tds")
+#: Types that can be compared, in the order in which their errors count; columns beyond which a table is called wide.
+COMPARED, WIDE = ("csv", "twb", "tds"), 50
 
 
 def merge_store(first: DataFrame, second: DataFrame, key: str = "file_hash") -> DataFrame:
@@ -64,6 +66,28 @@ def diff_status(before: Column, before_data: Column, after: Column, after_data:
     )
 
 
+def type_diffs(rows: DataFrame, key: str = "path", types: Iterable[str] = COMPARED) -> DataFrame:
+    """key, type, status of comparing two versions of files, type by type.
+
+    rows: key, before and after (whether the file is there), and before_x and after_x for each type x. Types that
+    cannot be compared are left out if another one can; else one row without a type gives the first error that says
+    more than that there are no summaries.
+    """
+    status = lambda t: diff_status(F.col("before"), F.col(f"before_{t}"), F.col("after"), F.col(f"after_{t}"))
+    each = F.array(*(F.struct(F.lit(t).alias("type"), status(t).alias("status")) for t in types))
+    failed = lambda x: x.status.isin(*ERRORS)
+    good = F.filter("each", lambda x: ~failed(x))
+    why = F.get(F.filter("each", lambda x: failed(x) & (x.status != "no_summaries")), F.lit(0)).status
+    bad = F.array(F.struct(F.lit(None).cast("string").alias("type"), F.coalesce(why, F.lit("no_summaries")).alias("status")))
+    return rows.withColumn("each", each).select(key, F.inline(F.when(F.size(good) > 0, good).otherwise(bad)))
+
+
+def table_warnings(headers: Column, summaries: Column) -> Column:
+    """What is odd about a table's summary, given its headers and the summaries of its columns: 'wide', 'unequal'."""
+    wide, unequal = F.when(F.size(headers) > WIDE, "wide"), F.when(F.size(headers) != F.size(summaries), "unequal")
+    return F.array_compact(F.array(wide, unequal))
+
+
 def error_code(status: Column) -> Column:
     """The code of a status, 0 if it is none."""
     out = F.lit(0)
@@ -111,6 +135,7 @@ def change_map(diffs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def merge_change_maps(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Change maps of two disjoint parts as one: by, added, changed, deleted, total."""
     return a.unionByName(b).groupBy(*by).agg(*(F.sum(x).alias(x) for x in ("added", "changed", "deleted", "total")))
 
 

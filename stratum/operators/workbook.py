@@ -183,3 +183,37 @@ def workbook_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     value = F.to_json(F.struct("caption", "depth", F.map_from_entries(F.array_sort(F.map_entries("attributes"))).alias("attributes")))
     side = lambda df: df.select("kind", "parent", "name", "path", value.alias("value"))
     return keyed_diff(side(before), side(after), ["kind", "parent", "name", "path"], ["value"]).select("kind", "parent", "name", "path", "status")
+
+
+#: What holds items of a kind, from the innermost holders to the outermost.
+HOLDERS = (
+    {"filter": ("group",)},
+    {
+        "relation": ("datasource",), "relationship": ("datasource",), "column": ("datasource",), "metadata": ("datasource",), "group": ("datasource",),
+        "column-instance": ("datasource", "worksheet"), "rows": ("worksheet",), "cols": ("worksheet",), "worksheet-filter": ("worksheet",), "zone": ("dashboard",),
+    },
+)
+
+
+def rolled_up(diff: DataFrame) -> DataFrame:
+    """A diff of workbook_diff() in which what holds a changed item, at any depth, has changed too.
+
+    Items are joined by equality to the places and names above them; nothing is compared in pairs.
+    """
+    parts = F.split("path", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    nested = diff.where("status <> 'none' AND path LIKE '%.%'").select("kind", "parent", F.explode(above).alias("path")).distinct()
+    diff = _marked(diff, nested, ["kind", "parent", "path"])
+    for holders in HOLDERS:
+        pairs = [(k, h) for k, v in holders.items() for h in v]
+        held = F.array(*(F.struct(F.lit(k).alias("of"), F.lit(h).alias("holder")) for k, h in pairs))
+        marks = diff.where("status <> 'none'").select("kind", F.col("parent").alias("name"), F.inline(held)).where("kind = of").select(F.col("holder").alias("kind"), "name").distinct()
+        diff = _marked(diff, marks, ["kind", "name"])
+    return diff
+
+
+def _marked(diff: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """The diff with what is marked and had not changed as changed."""
+    rows = diff.join(marks.withColumn("__mark", F.lit(True)), keys, "left")
+    status = F.when((F.col("status") == "none") & F.col("__mark").isNotNull(), "change").otherwise(F.col("status"))
+    return rows.withColumn("status", status).select(*diff.columns)

@@ -669,6 +669,40 @@ def compression_schemes(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_returnflag").distinct().select("l_returnflag", S.compression_scheme(spelled).alias("scheme"))
 
 
+@query("SELECT l_suppkey AS oid, l_partkey % 50 AS cas_hash, sum(l_linenumber * 10)::BIGINT AS bytes FROM lineitem GROUP BY ALL")
+def block_usage(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("oid"), (F.col("l_partkey") % 50).alias("cas_hash"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber") * 10).alias("end"))
+    return R.block_usage(li)
+
+
+_SIDE = {t: (f"c_custkey % {m} = 0", f"c_custkey % {n} = 0") for t, m, n in (("csv", 2, 3), ("twb", 5, 5), ("tds", 7, 4))}
+
+
+@query("WITH r AS (" + " UNION ALL ".join(
+    f"SELECT c_custkey, '{t}' AS type, {k} AS k, CASE WHEN NOT ({a}) AND NOT ({b}) THEN 'no_summaries' WHEN ({a}) AND NOT ({b}) THEN 'after_not_found' WHEN ({b}) AND NOT ({a}) THEN 'before_not_found' WHEN c_custkey % 10 = 0 THEN 'diff' ELSE 'no_diff' END AS status FROM customer"
+    for k, (t, (a, b)) in enumerate(_SIDE.items())) + """),
+g AS (SELECT c_custkey, type, status FROM r WHERE status IN ('diff', 'no_diff')),
+w AS (SELECT c_custkey, coalesce(arg_min(status, k) FILTER (status <> 'no_summaries'), 'no_summaries') AS status FROM r WHERE c_custkey NOT IN (SELECT c_custkey FROM g) GROUP BY c_custkey)
+SELECT * FROM g UNION ALL SELECT c_custkey, NULL, status FROM w""")
+def type_diffs(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.lit(True).alias("before"), F.lit(True).alias("after"))
+    for t, (a, b) in _SIDE.items():
+        changed = F.when(F.col("c_custkey") % 10 == 0, "y").otherwise("x")
+        c = c.withColumn(f"before_{t}", F.when(F.expr(a), F.lit("x"))).withColumn(f"after_{t}", F.when(F.expr(b), changed))
+    return U.type_diffs(c, "c_custkey")
+
+
+@query(f"SELECT path, repeat('0', 64) AS oid, 1::BIGINT AS size FROM ({_TREE}) WHERE doc_id = 1 UNION ALL SELECT path, oid, size FROM ({_TREE}) WHERE doc_id <> 1")
+def transactions(spark, sf_dir):
+    """One that is applied, one that is cancelled and one that fails whole."""
+    t = tree(spark, sf_dir)
+    path = t.where("doc_id = 1").first().path
+    schema = "seq int, op string, src string, dst string, oid string, size long"
+    good = spark.createDataFrame([(1, "put", None, path, "0" * 64, 1)], schema)
+    bad = spark.createDataFrame([(1, "put", None, path, "2" * 64, 2), (2, "delete", "no such path", None, None, None)], schema)
+    return R.transaction(R.transaction(R.transaction(t, good), bad), good.withColumn("size", F.lit(9).cast("long")), cancelled=True)
+
+
 @query("SELECT o_orderkey, substr(o_orderpriority, 3, 4) AS bytes, 2 + 4 >= length(o_orderpriority) AS eof FROM orders")
 def paged_read(spark, sf_dir):
     p = S.paged(F.encode("o_orderpriority", "UTF-8"), F.lit(2), F.lit(4))

@@ -399,3 +399,16 @@ def test_rings_and_exports(spark, tmp_path):
     I.append_notes(ch.limit(1), str(tmp_path / "notes"))
     assert spark.read.parquet(str(tmp_path / "notes")).count() == 3
     assert [json.loads(r.value)["idx"] for r in I.to_json_lines(ch).collect()] == [0, 0]
+
+
+def test_changes_roll_up(spark):
+    rows = [
+        ("datasource", "", "d", "", "none"), ("group", "d", "g", "", "none"), ("filter", "g", "x", "0", "none"), ("filter", "g", "y", "0.1", "none"), ("filter", "g", "z", "0.1.0", "change"),
+        ("datasource", "", "e", "", "none"), ("column", "e", "c", "", "none"), ("dashboard", "", "b", "", "none"), ("zone", "b", "z", "0", "add"), ("worksheet", "", "w", "", "delete"), ("rows", "w", "r", "", "delete"), ("datasource", "", "f", "", "add"), ("column", "f", "c", "", "add"),
+    ]
+    got = {(r.kind, r.name, r.path): r.status for r in W.rolled_up(spark.createDataFrame(rows, "kind string, parent string, name string, path string, status string")).collect()}
+    want = {(k, n, p): s for k, _, n, p, s in rows}
+    want |= {x: "change" for x in (("filter", "y", "0.1"), ("filter", "x", "0"), ("group", "g", ""), ("datasource", "d", ""), ("dashboard", "b", ""))}
+    assert got == want
+    one = spark.createDataFrame([([f"c{k}" for k in range(51)], [1] * 51), (["a"], [1, 2]), (["a"], [1])], "h array<string>, s array<int>")
+    assert [r.w for r in one.select(U.table_warnings(F.col("h"), F.col("s")).alias("w")).collect()] == [["wide"], ["unequal"], []]
