@@ -238,7 +238,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for whole in batches:
-            for batch in arrow_pieces(whole, 2 << 20):
+            for batch in arrow_pieces(whole, 1 << 19):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 ids = p.encode(texts)
                 same = [p.decode(i) == t for i, t in zip(ids, texts)]
