@@ -210,10 +210,13 @@ def compact(shards: DataFrame, target: int = SHARD_TARGET, by: str | None = None
 
 
 def compacted(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of the shards (column shard) of each group as one shard, named by what it holds; of equal keys one stays."""
+    """The rows of the shards (column shard) of each group as one shard, named by what it holds; of equal keys one stays.
+
+    Groups that hold the same have the same name; bin tells them apart.
+    """
     joined = rows.join(groups.select("shard", "bin"), "shard").dropDuplicates(["bin", *key])
     names = joined.groupBy("bin").agg(F.sha2(F.sum(F.xxhash64(*key).cast("decimal(38,0)")).cast("string"), 256).alias("name"))
-    return joined.join(names, "bin").select(F.col("name").alias("shard"), *(c for c in rows.columns if c != "shard"))
+    return joined.join(names, "bin").select("bin", F.col("name").alias("shard"), *(c for c in rows.columns if c != "shard"))
 
 
 def pieces(segments: DataFrame, data: DataFrame, start: int = 0, length: int | None = None) -> DataFrame:

@@ -613,7 +613,7 @@ def store_compaction(spark, sf_dir):
     rows = o.select((F.col("o_custkey") % 40).cast("string").alias("shard"), (F.col("o_custkey") % 40).alias("mtime"), (F.col("o_orderkey") % 500).alias("k")).distinct()
     shards = rows.groupBy("shard", "mtime").agg(F.count("*").alias("size"))
     merged = D.compacted(rows.drop("mtime"), D.compact(shards, 600), ["k"])
-    return merged.groupBy("shard").agg(F.count("*").alias("n_keys")).groupBy("n_keys").agg(F.count("*").alias("n_shards"))
+    return merged.groupBy("bin").agg(F.count("*").alias("n_keys")).groupBy("n_keys").agg(F.count("*").alias("n_shards"))
 
 
 @query(f"""

@@ -211,6 +211,19 @@ def test_pack(spark):
     assert bins(True) == [0, 0, 0, 1, 1, 2] and bins(False) == [0, 0, 1, 1, 2, 3]
 
 
+def test_equal_compacted_groups_stay_apart(spark, tmp_path):
+    from stratum.plans.queries import QUERIES
+
+    orders = spark.range(40 * 400).select((F.col("id") % 40).alias("o_custkey"), F.floor(F.col("id") / 40).alias("o_orderkey"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    assert [tuple(r) for r in QUERIES["store_compaction"](spark, str(tmp_path)).collect()] == [(400, 20)]
+    rows = spark.createDataFrame([(f"s{i}", k) for i in range(6) for k in range(4 if i < 4 else i)], "shard string, k long")
+    shards = rows.groupBy("shard").agg(F.count("*").alias("size")).withColumn("mtime", F.substring("shard", 2, 1).cast("int"))
+    got = D.compacted(rows, D.compact(shards, 8), ["k"]).collect()
+    assert collections.Counter(r.bin for r in got) == {0: 4, 1: 4, 2: 5}
+    assert len({r.shard for r in got}) == 2 and len({(r.bin, r.k) for r in got}) == len(got)
+
+
 def test_store_algebra(spark):
     a = spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string")
     b = spark.createDataFrame([(2, "b"), (3, "b")], "k int, v string")
