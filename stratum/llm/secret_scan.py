@@ -12,10 +12,11 @@ from, and what is found in a layer is reported at that span, under a kind that n
 
 What comes out of compressed bytes is never held whole: it is scanned in windows that overlap, each a worklist of its
 own, and an encoded run that goes on beyond a window is decoded as it comes. So there is no limit to what is read, and
-memory depends on the text and on WINDOW alone. Equal compressed bytes of a text are opened once. Two limits remain:
-compressed bytes are followed DEPTH deep into one another (they can be made to grow for ever), and inside of an inflated
-stream of more than WINDOW bytes, compressed bytes are followed if they stand in base64 or open the stream, or fit in a
-window.
+memory depends on the text and on WINDOW alone. Equal compressed bytes of a text are opened once, if they fit a window.
+Compressed bytes are found anywhere in such a stream and in base64 in it, as in bytes that are held. Two limits remain:
+compressed bytes are followed DEPTH deep into one another (they can be made to grow for ever), and in an inflated stream
+of more than WINDOW bytes, escapes (and what stands in them) that go on beyond a window are read window by window, so
+compressed bytes in them are followed only if they fit in one.
 
 Cases: null and empty texts have no spans; very long texts are read whole, in time linear in their length; rows may
 repeat; an empty table gives no rows; each row stands alone, other columns, whatever their names, are kept by redact()
@@ -89,12 +90,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text; pieces say which stretch of it came from which span of the original."""
+    """A decoded text; pieces say which stretch of it came from which span of the original, which ones are as they stand
+    there (kept), and which ones stood so in the layer before (old)."""
 
-    __slots__ = ("text", "name", "starts", "spans", "kept")
+    __slots__ = ("text", "name", "starts", "spans", "kept", "old")
 
-    def __init__(self, text: str, name: str, starts: list[int], spans: list[tuple[int, int]], kept: list[bool]):
-        self.text, self.name, self.starts, self.spans, self.kept = text, name, starts, spans, kept
+    def __init__(self, text: str, name: str, starts: list[int], spans: list[tuple[int, int]], kept: list[bool], old: list[bool] | None = None):
+        self.text, self.name, self.starts, self.spans, self.kept, self.old = text, name, starts, spans, kept, old or kept
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         """The span of the original under [start, end) of this layer."""
@@ -107,9 +109,9 @@ class Layer:
         return a, b
 
     def decoded(self, start: int, end: int) -> bool:
-        """Whether a decoded stretch touches [start, end)."""
+        """Whether a stretch that the layer before had not touches [start, end)."""
         i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, max(start, end - 1)) - 1
-        return not all(self.kept[i : j + 1])
+        return not all(self.old[i : j + 1])
 
 
 def _from_url(run: str) -> str:
@@ -134,6 +136,7 @@ class Inflate:
     def __init__(self, head: bytes, sink: Stream, raw: bool = False):
         self.make = bz2.BZ2Decompressor if head[:3] == b"BZh" else lambda: zlib.decompressobj(-15 if raw else 47)
         self.starts = (b"BZh",) if head[:3] == b"BZh" else (b"\x1f\x8b",) if head[:2] == b"\x1f\x8b" else ()
+        self.step = 1 if head[:3] == b"BZh" else PIECE  # bz2 gives up what a call had said before a fault
         self.d, self.sink, self.broken, self.some = self.make(), sink, False, False
 
     def _step(self, d, data: bytes) -> bytes:
@@ -154,15 +157,19 @@ class Inflate:
             self.sink.feed(data)
 
     def feed(self, data: memoryview | bytes) -> int:
-        """Bytes used, up to the end of the last member or a fault; what comes before a fault counts."""
+        """Bytes used, up to the end of the last member or a fault; what comes before a fault counts. Last bytes that may
+        begin a member are not used: they are to be given again, with what follows."""
         at = 0
         while at < len(data) and not self.broken:
             if self.d.eof:
-                if not bytes(data[at : at + 3]).startswith(self.starts or b"\0no"):
+                start = bytes(data[at : at + 3])
+                if any(len(start) < len(x) and x.startswith(start) for x in self.starts):
+                    break
+                if not start.startswith(self.starts or b"\0no"):
                     self.broken = True
                     break
                 self.d = self.make()
-            piece = bytes(data[at : at + PIECE])
+            piece = bytes(data[at : at + self.step])
             before = self.d.copy() if hasattr(self.d, "copy") else None
             part, told = piece, 0
             try:
@@ -192,18 +199,21 @@ class Inflate:
 class Stream:
     """The kinds of secrets in bytes that come in pieces: whole if they fit a window, else window by window."""
 
-    def __init__(self, name: str, depth: int, opened: dict):
-        self.name, self.depth, self.opened, self.found = name, depth, opened, set()
+    def __init__(self, name: str, depth: int, opened: dict, coded: bool = False):
+        self.name, self.depth, self.opened, self.coded, self.found = name, depth, opened, coded, set()
         self.buffer, self.kept, self.long = bytearray(), 0, False
-        self.inner: Inflate | None = None  # of a long stream that is itself compressed
+        self.inside: Inside | None = None  # of a long stream
+        self.raw: Inflate | None = None  # of a long stream that may be raw deflate as a whole
         self.run: Stream | None = None  # of a long base64 run
         self.pending = b""
 
     def feed(self, data: bytes) -> None:
         while data:  # by windows, whatever the size of a piece
             part, data = data[:WINDOW], data[WINDOW:]
-            if self.inner:
-                self.inner.feed(part)
+            if self.inside:
+                self.inside.feed(part)
+            if self.raw:
+                self.raw.feed(part)
             if self.run:
                 self._go_on(part)
             self.buffer += part
@@ -214,14 +224,17 @@ class Stream:
         data = bytes(self.buffer)
         if not self.long:
             self.long = True
-            if _compressed(data) and self.depth < DEPTH:
-                self.inner = Inflate(data, Stream("zip", self.depth + 1, self.opened))
-                self.inner.feed(data)
+            if self.depth < DEPTH:
+                self.inside = Inside(self.depth, self.opened)
+                self.inside.feed(data)
+                if self.coded:
+                    self.raw = Inflate(b"", Stream("zip", self.depth + 1, self.opened), True)
+                    self.raw.feed(data)
         data = re.sub(rb" {65,}", b" " * 64, data)  # so that a name and its value never get far apart
         self._scan(data)
         start, keep = len(data.rstrip(RUN)), len(data.rstrip(OPEN))
         if self.run is None and len(data) - start > WINDOW // 2 and self.depth < DEPTH:
-            self.run, self.pending = Stream("base64", self.depth + 1, self.opened), b""
+            self.run, self.pending = Stream("base64", self.depth + 1, self.opened, True), b""
             self._go_on(data[start:])
         keep = len(data) - OVERLAP if len(data) - keep > WINDOW // 2 else min(keep, len(data) - OVERLAP)
         self.buffer = bytearray(data[max(0, keep) :])
@@ -253,11 +266,89 @@ class Stream:
         if data:
             self._scan(data)
             if not self.long:
-                self.found = self.found.union(*(kinds for kinds, *_ in kinds_inside(data, self.opened, self.depth)))
-        if self.inner:
-            self.found |= self.inner.sink.close()
+                self.found = self.found.union(*(kinds for kinds, *_ in kinds_inside(data, self.opened, self.depth, self.coded)))
+        if self.inside:
+            self.found |= self.inside.close()
+        if self.raw and self.raw.d.eof and not self.raw.broken:
+            self.found |= self.raw.sink.close()
+        return self.found
+
+
+class Inside:
+    """The kinds of secrets in compressed bytes anywhere in bytes that come in pieces, as kinds_inside() finds them in bytes
+    that are held: what ends within a window is opened as one, what goes on beyond it is inflated as it comes."""
+
+    def __init__(self, depth: int, opened: dict, first: bool = True):
+        self.depth, self.opened, self.found = depth, opened, set()
+        self.buffer, self.first = bytearray(), first
+        self.probe: Inflate | None = None  # tells where what the buffer begins with ends
+        self.told = 0
+        self.item: Inflate | None = None  # what goes on beyond a window
+        self.rest: Inside | None = None  # what follows the item's first byte, while it is not known to be compressed
+
+    def feed(self, data: bytes) -> None:
+        chain = [self]
+        while chain[-1].rest:
+            chain.append(chain[-1].rest)
+        for x in reversed(chain):
+            x.buffer += data
+            while x._decided(False):
+                pass
+
+    def close(self) -> set[str]:
+        while self._decided(True):
+            pass
         return self.found
 
+    def _decided(self, last: bool) -> bool:
+        """Take one step; whether there may be another one before more bytes come."""
+        if self.item:
+            return self._item(last)
+        if not self.probe:
+            start = 0
+            if not (self.first and _compressed(bytes(self.buffer[:PIECE]))):
+                m = COMPRESSED.search(self.buffer, int(self.first))
+                if not m:  # the longest of these starts has ten bytes
+                    self.first = False
+                    del self.buffer[: max(0, len(self.buffer) - 9)]
+                    return False
+                start = m.start()
+            self.first = False
+            del self.buffer[:start]
+            self.probe, self.told = Inflate(bytes(self.buffer[:PIECE]), Stream("", DEPTH, {})), 0
+            self.probe.sink.feed = len
+        used = -1
+        while used and not self.probe.broken and self.told < len(self.buffer):
+            used = self.probe.feed(bytes(self.buffer[self.told : self.told + PIECE]))
+            self.told += used
+        if self.probe.broken or last:
+            used = self.told if self.probe.some else 0
+            if used:
+                self.found |= kinds_at(bytes(self.buffer[:used]), self.opened, self.depth)[0]
+            del self.buffer[: max(1, used)]
+            self.probe = None
+            return True
+        if len(self.buffer) <= WINDOW:
+            return False
+        if not self.probe.some:
+            self.rest = Inside(self.depth, self.opened, False)
+            self.rest.feed(bytes(self.buffer[1:]))
+        self.item, self.probe = Inflate(bytes(self.buffer[:PIECE]), Stream("zip", self.depth + 1, self.opened)), None
+        return True
+
+    def _item(self, last: bool) -> bool:
+        del self.buffer[: self.item.feed(bytes(self.buffer))]
+        if self.item.some:
+            self.rest = None
+        if not self.item.broken and not last:
+            return False
+        self.found |= self.item.sink.close()
+        self.item = None
+        if x := self.rest:  # it was none
+            self.found |= x.found
+            self.buffer, self.probe, self.told, self.item, self.rest = x.buffer, x.probe, x.told, x.item, x.rest
+        return True
+
 
 def _compressed(data: bytes) -> bool:
     """Whether bytes begin as compressed ones do."""
@@ -295,7 +386,7 @@ def kinds_inside(data: bytes, opened: dict, depth: int, coded: bool = False) ->
         kinds, used = kinds_at(view[m.start() :], opened, depth)
         at = m.start() + max(1, used)
         yield kinds, m.start(), at
-    if coded and not at and len(data) > 8:
+    if coded:
         yield kinds_at(view, opened, depth, True)[0], 0, len(data)
 
 
@@ -370,7 +461,7 @@ def _from_wrapped(layer: Layer, start: int, end: int, found: Found) -> Iterator[
 
 def _rewritten(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
     """The layer with every match of a pattern decoded, if there is any."""
-    out, starts, spans, kept, at, size = [], [], [], [], 0, 0
+    out, starts, spans, kept, old, at, size = [], [], [], [], [], 0, 0
 
     def add(text: str, start: int, end: int, whole: bool) -> None:
         nonlocal size
@@ -383,6 +474,7 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer |
                 starts.append(size)
                 spans.append(layer.origin(start, stop))
                 kept.append(layer.kept[k])
+                old.append(True)
                 out.append(layer.text[start:stop])
                 size += stop - start
                 start, k = stop, k + 1
@@ -390,6 +482,7 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer |
             starts.append(size)
             spans.append(layer.origin(start, end))
             kept.append(False)
+            old.append(False)
             out.append(text)
             size += len(text)
 
@@ -400,7 +493,7 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer |
     if not at:
         return None
     add(layer.text[at:], at, len(layer.text), True)
-    return Layer("".join(out), name, starts, spans, kept) if out else None
+    return Layer("".join(out), name, starts, spans, kept, old) if out else None
 
 
 class Found:

@@ -274,6 +274,34 @@ def test_secrets_deep_in_large_compressed_layers(monkeypatch):
     assert not secret_scan.all_spans(wrap(plain * 3 + base64.b64encode(b"\0" * 40_000)))[1]
 
 
+@pytest.mark.parametrize("packer", [*PACKERS, "stored", "named", "tiny raw", "raw"])
+def test_compressed_layers_do_not_depend_on_size(monkeypatch, packer):
+    rng = random.Random(packer)
+    noise = lambda n: rng.randbytes(n)
+    named = lambda d: gzip.compress(b"")[:3] + b"\x08" + bytes(6) + b"n" * 30_000 + b"\x1f\x8b\x08\0" + deflated(d)
+    ways = PACKERS | {"stored": lambda d: gzip.compress(d, 0), "named": named, "raw": deflated, "tiny raw": deflated}
+    pack, hidden = ways[packer], b"\n".join([SECRET, noise(40), SECRET])
+    inside = [pack(hidden), pack(noise(9000) + hidden), pack(noise(40_000) + hidden + noise(7000))]
+    if packer in PACKERS or packer == "stored":  # anywhere in a stream, alone, behind false starts, behind others
+        datas = [noise(a) + x + noise(b) for x in inside for a, b in ((1, 9), (3, 30_000), (4990, 3), (30_000, 30_000), (30_000, 0))]
+        datas += [noise(20_000) + b"\x1f\x8b\x08 x\x9c BZh91AY&SY" * 3 + inside[0], pack(noise(9000)) * 2 + noise(8000) + inside[1]]
+        datas += [noise(9000) + inside[2][:-20]] if "bz2" not in packer else []  # of which half a block tells nothing
+    elif packer == "named":
+        datas = [noise(9000) + x for x in inside]
+    elif packer == "raw":  # long enough for a chance start of zlib's
+        datas = [base64.b64encode(deflated(noise(k * 100) + b"x\x9c" + noise(60_000) + hidden)) for k in range(3)]
+    else:
+        datas = [b"A" * 77 + b"\n" + base64.b64encode(deflated(b"a" * 16)) + b" "]
+    for k, data in enumerate(datas):
+        text = f"a {data.decode()} b" if packer.endswith("raw") else f"a {base64.b64encode(gzip.compress(data)).decode()} b"
+        got = []
+        for window in (1 << 20, 5000):
+            monkeypatch.setattr(secret_scan, "WINDOW", window)
+            monkeypatch.setattr(secret_scan, "OVERLAP", window >> 4)
+            got.append({kind for _, kind, _ in secret_scan.all_spans(text)[1]})
+        assert got[0] == got[1] and got[0] & {"zip.assign", "zip.hex"}, (k, got)
+
+
 def test_bombs_and_cycles_end(monkeypatch):
     bomb = zlib.compress(zlib.compress(b" " * (300 << 20), 9) + b"x", 9)
     text = "\n\n".join([base64.b64encode(bomb).decode()] * 1000) + " token=abcdefghijklmno"
