@@ -26,6 +26,8 @@ MAX_REFS = 512
 U32 = 4294967295
 #: Places in the store from which runs of a chunk are looked for.
 CANDIDATES = 8
+#: Bytes of a block that meet the segments that need some of them.
+PAGE = 1 << 13
 
 
 def with_offsets(chunks: DataFrame, by: str = "cas_hash", order: str = "idx") -> DataFrame:
@@ -220,12 +222,20 @@ def compacted(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
 
 
 def pieces(segments: DataFrame, data: DataFrame, start: int = 0, length: int | None = None) -> DataFrame:
-    """file_hash, seq, piece of files, or of a range of them, for files that are too long for one row.
+    """file_hash, seq, page, piece of files, or of a range of them, in order of seq and page, for files that are too long
+    for one row.
 
-    Only the bytes that a segment needs leave its block.
+    Blocks are dealt by page, so that a segment meets the pages it needs and no whole block.
     """
     rows = segments if length is None and not start else slice_ranges(segments, start, length if length is not None else 1 << 62)
-    return rows.join(data, "cas_hash").select("file_hash", "seq", F.substring("bytes", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("piece"))
+    first, last = (F.floor(F.greatest(x - 1, F.lit(0)) / PAGE).cast("int") for x in (F.when(F.col("start") < F.col("end"), F.col("start") + 1).otherwise(F.col("start")), F.col("end")))
+    rows = rows.withColumn("page", F.explode(F.sequence(first, F.greatest(first, last))))
+    # bytes are bound once by the outer transform: a column would be copied for every page
+    cut_up = F.transform(F.array("bytes"), lambda b: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length(b) - 1, F.lit(0)) / PAGE).cast("int")), lambda k: F.substring(b, k * PAGE + 1, F.lit(PAGE))))
+    paged = data.select("cas_hash", F.posexplode(cut_up[0]).alias("page", "bytes"))
+    at = F.col("page").cast("long") * PAGE
+    a, b = F.greatest(F.col("start") - at, F.lit(0)), F.least(F.col("end") - at, F.lit(PAGE))
+    return rows.join(paged, ["cas_hash", "page"]).select("file_hash", "seq", "page", F.substring("bytes", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).alias("piece"))
 
 
 def reconstruct(segments: DataFrame, data: DataFrame, start: int = 0, length: int | None = None) -> DataFrame:
@@ -233,7 +243,7 @@ def reconstruct(segments: DataFrame, data: DataFrame, start: int = 0, length: in
 
     A file must fit a row (under 1 GB); pieces() gives longer ones part by part.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: F.hex(x.piece))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "page", "piece"))), lambda x: F.hex(x.piece))
     return pieces(segments, data, start, length).groupBy("file_hash").agg(F.unhex(F.array_join(ordered, "")).alias("bytes"))
 
 

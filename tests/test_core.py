@@ -161,6 +161,19 @@ def test_clean_round_trip(spark):
     assert stored < sum(map(len, files.values())) * 0.7
 
 
+def test_blocks_meet_segments_by_page(spark):
+    rng = random.Random(7)
+    blocks = {"a": rng.randbytes(3 * D.PAGE), "b": rng.randbytes(100), "e": b""}
+    n, p = len(blocks["a"]), D.PAGE
+    parts = {"f": [("a", p - 5, p + 5), ("b", 0, 100), ("a", 0, n), ("a", p, 2 * p)], "g": [("b", 7, 7), ("a", n - 1, n), ("a", n, n), ("e", 0, 0)], "h": [("e", 0, 0)]}
+    seg = spark.createDataFrame([(f, i, *x) for f, xs in parts.items() for i, x in enumerate(xs)], "file_hash string, seq int, cas_hash string, start long, end long")
+    data = spark.createDataFrame(list(blocks.items()), "cas_hash string, bytes binary")
+    whole = {f: b"".join(blocks[c][s:e] for c, s, e in xs) for f, xs in parts.items()}
+    assert {r.file_hash: bytes(r.bytes) for r in D.reconstruct(seg, data).collect()} == whole
+    assert {r.file_hash: bytes(r.bytes) for r in D.reconstruct(seg, data, p, p + 9).collect()} == {"f": whole["f"][p : 2 * p + 9]}
+    assert D.pieces(seg, data).agg(F.max(F.octet_length("piece"))).first()[0] <= p
+
+
 def test_greedy_cover(spark):
     runs = [(1, 0, "a", 5, 3), (1, 1, "b", 0, 6), (1, 9, "c", 2, 1), (1, 9, "b", 9, 1)]
     df = spark.createDataFrame(runs, "file_id int, first_seq long, cas_hash string, first_idx long, n_chunks long")
