@@ -11,8 +11,9 @@ of its own length, of its words as they are; documents have such windows for the
 of fewer than four words say too little to be looked for within a sentence: they count where they make up a whole one
 (from one of ``. ! ? : ;`` or a line's end to the next).
 
-Documents are read once. A bit table of fixed size over the benchmark's hashes drops nearly all windows before the
-join, which then decides exactly; benchmark windows are broadcast only up to a counted bound.
+Documents are read once, all texts of about 1 MB together as arrays of characters, tokens and words; only windows that
+survive a bit table of fixed size over the benchmark's hashes become strings again and reach the join, which then
+decides exactly. Benchmark windows are broadcast only up to a counted bound.
 
 Cases: null and empty texts and items hold no window; very long texts are read whole, in time linear in their length;
 an empty table of documents or items gives no rows and drops nothing; windows of fewer than four plain words match only with the same numbers and names, and count for runs, or for the
@@ -23,9 +24,10 @@ of their own; extra columns are ignored by find_leaks() and kept by drop_leaks()
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,70 +41,143 @@ WIDTH, PLAIN, COVERED = 8, 4, 0.5
 #: Words of a consistent run that agree as they are; so many are a leak.
 RUN = 13
 BITS = 24
-TOKEN = re.compile(r"\d[\d.,]*\d|\d|[^\W\d_]+|[.!?:;\n]+")
 #: Units that follow a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t oz lb ml l cl dl gal s sec min h hr hour hours minute minutes second seconds day days week weeks month months year years "
     "mph kmh hz khz mhz ghz w kw mw v a k c f eur usd gbp dollar dollars euro euros cent cents percent pct meter meters metre metres inch inches foot feet mile miles "
     "gram grams kilogram kilograms liter liters litre litres kb mb gb tb".split()
 )
+LONGEST = max(map(len, UNITS))
 NUM, NAME, UNIT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-REMEMBERED = 200_000
 EXACT = np.uint64(0xC2B2AE3D27D4EB4F)
-_PLAIN, _CAPITAL, _NUMBER, _UNIT, _STOP = 0, 1, 2, 4, 8
+_PLAIN, _CAPITAL, _NUMBER, _STOP = 0, 1, 2, 4
+#: Of a character: what it builds (letters, a number, a stop), then further marks.
+_BUILDS, _POINT, _UPPER, _LOWER, _DIGIT, _SIGN = 3, 4, 8, 16, 32, 64
+#: Characters that are looked at together.
+SLICE = 1 << 17
+
+
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all characters the marks and the value of the lower-case form; of the marks the kind of a token that begins so."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    marks, low = np.zeros(len(every), np.uint8), np.arange(len(every), dtype=np.uint64)
+    for builds, found in ((1, r"[^\W\d_]+"), (2, r"\d+"), (3, r"[.!?:;\n]+")):
+        for m in re.finditer(found, every):
+            marks[m.start() : m.end()] = builds
+    marks[[ord("."), ord(",")]] |= _POINT
+    for i in np.flatnonzero(marks == 1).tolist():
+        c = every[i]
+        if c.isupper():
+            marks[i] |= _UPPER
+        elif c.islower() or c.istitle():
+            marks[i] |= _LOWER
+        if not c.isalpha():
+            marks[i] |= _DIGIT if c.isdigit() else _SIGN
+        if len(c.lower()) == 1:  # the one longer form is no other character's
+            low[i] = ord(c.lower())
+    kinds = np.arange(256)
+    builds = kinds & _BUILDS
+    kinds = np.where((builds == 3) | (kinds & _SIGN > 0), _STOP, np.where((builds == 2) | (kinds & _DIGIT > 0), _NUMBER, _PLAIN)).astype(np.uint8)
+    low = (low + np.uint64(1)) * MULTIPLY
+    low = (low ^ (low >> np.uint64(30))) * MIX
+    return marks, low ^ (low >> np.uint64(27)), kinds
+
+
+@lru_cache(maxsize=2)
+def _powers(base: int) -> np.ndarray:
+    out = np.full(SLICE, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _slices(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """The characters of a text by number, a slice at a time."""
+    for lo in range(0, len(text), SLICE):
+        yield lo, np.frombuffer(text[lo : lo + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def _spelled(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens of a text that ends with a line: start, end, kind, and a hash of its lower-case form. Tokens are numbers
+    (from a digit to a digit, over digits, points and commas), runs of other letters, and runs of ``.!?:;`` and line ends."""
+    marks, values, kinds = _characters()
+    mark = np.empty(len(text), np.uint8)
+    for lo, at in _slices(text):
+        mark[lo : lo + len(at)] = marks.take(at)
+    builds = mark & _BUILDS
+    points = np.flatnonzero(mark & _POINT)
+    if len(points):  # a run of points between two digits is part of a number
+        first = np.flatnonzero(np.diff(points, prepend=-2) > 1)
+        last = np.append(first[1:], len(points)) - 1
+        inner = (mark[points[first] - 1] & _BUILDS == 2) & (mark[points[last] + 1] & _BUILDS == 2) & (points[first] > 0)
+        builds[points[np.repeat(inner, last - first + 1)]] = 2
+    change = np.flatnonzero(builds[1:] != builds[:-1]) + 1
+    start, end = np.concatenate([[0], change]), np.append(change, len(text))
+    token = np.flatnonzero(builds[start])
+    start, end = start[token], end[token]
+    kind = kinds[mark[start]]
+    upper = np.flatnonzero((mark[start] & _UPPER > 0) & (kind == _PLAIN))
+    if len(upper):  # a capital with a small letter after it
+        both = np.bitwise_or.reduceat(mark, np.stack([start[upper], end[upper]], 1).ravel())[::2]
+        kind[upper[both & _LOWER > 0]] = _CAPITAL
+    # the characters' values times powers of a base, summed up to each place; a token's sum is taken back to the power 0
+    base, inverse = int(MULTIPLY), pow(int(MULTIPLY), -1, 1 << 64)
+    h, back, carry = np.zeros(len(start), np.uint64), np.ones(len(start), np.uint64), np.zeros(1, np.uint64)
+    for lo, at in _slices(text):
+        total = values.take(at)
+        total *= _powers(base)[: len(at)]
+        total = np.concatenate([carry, np.cumsum(total) * np.uint64(pow(base, lo, 1 << 64)) + carry])
+        (i, j), (m, n) = np.searchsorted(start, [lo, lo + len(at)]), np.searchsorted(end, [lo, lo + len(at)])
+        h[m:n] += total[end[m:n] - lo]
+        h[i:j] -= total[start[i:j] - lo]
+        back[i:j] = _powers(inverse)[start[i:j] - lo] * np.uint64(pow(inverse, lo, 1 << 64))
+        carry = total[-1:]
+    h *= back
+    if "\u03a3" in text:  # the one letter whose small form depends on its place
+        places = [m.start() for m in re.finditer("\u03a3", text)]
+        for i in np.unique(np.searchsorted(start, places, "right") - 1).tolist():
+            low, h[i] = text[start[i] : end[i]].lower().replace("i\u0307", "\u0130"), 0
+            for lo, at in _slices(low):
+                h[i : i + 1] += (values.take(at) * _powers(base)[: len(at)] * np.uint64(pow(base, lo, 1 << 64))).sum(keepdims=True)
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return start, end, kind, h ^ (h >> np.uint64(29))
 
 
 class Canon:
-    """Canonical words of texts; remembers tokens."""
-
-    def __init__(self) -> None:
-        self.index: dict[str, int] = {}
-        self.hash, self.kind = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.uint8)
-
-    def _learn(self, tokens: set[str]) -> None:
-        if len(self.index) > REMEMBERED:
-            self.index.clear()
-        new = [t for t in tokens if t not in self.index]
-        at = len(self.index)
-        while at + len(new) > len(self.hash):
-            self.hash, self.kind = np.resize(self.hash, 2 * len(self.hash)), np.resize(self.kind, 2 * len(self.kind))
-        for i, t in enumerate(new, at):
-            low = t.lower()
-            self.hash[i] = int.from_bytes(blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            if t[0].isdigit():
-                self.kind[i] = _NUMBER
-            elif not t[0].isalpha():
-                self.kind[i] = _STOP
-            else:
-                self.kind[i] = (_CAPITAL if t[0].isupper() and not t.isupper() else 0) | (_UNIT if low in UNITS else 0)
-        self.index.update(zip(new, range(at, at + len(new))))
-
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-        """Hashes of the canonical words and of the words as they are, whether each is a slot, the tokens, the token of each word, and how many sentences end before it."""
-        tokens = TOKEN.findall(text)
-        try:
-            at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
-        except KeyError:
-            self._learn(set(tokens))
-            at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
-        kind = self.kind[at]
+    """The canonical words of texts, one after the other."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        """Hashes of the canonical words and of the words as they are, whether each is a slot, how many sentences end before it, where it stands; of each text the first character and word."""
+        self.text = "\n".join([t or "" for t in texts] + [""])
+        start, end, kind, raw = _spelled(self.text)
         before = np.concatenate([np.array([_STOP], np.uint8), kind[:-1]])[: len(kind)]
         number = kind == _NUMBER
-        unit = ((kind & _UNIT) > 0) & (before == _NUMBER)
-        name = ((kind & _CAPITAL) > 0) & (before != _STOP) & ~unit
-        h = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, self.hash[at])))
-        word = np.flatnonzero(kind != _STOP)
-        return h[word], self.hash[at[word]], (number | unit | name)[word], tokens, word, np.cumsum(kind == _STOP)[word]
-
-    def windows(self, text: str, lengths: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, list[str], np.ndarray]:
-        """(starts, hashes, widths) of the windows: first those that are specific enough, then the others by their words
-        as they are, then those of the given shorter lengths; how many are of the first sort; slots, tokens and words."""
-        h, raw, slot, tokens, word, sentence = self.words(text)
+        unit = np.zeros(len(kind), bool)
+        maybe = np.flatnonzero((before == _NUMBER) & (kind <= _CAPITAL) & (end - start <= LONGEST))
+        unit[maybe] = [self.text[i:j].lower() in UNITS for i, j in zip(start[maybe].tolist(), end[maybe].tolist())]
+        name = (kind == _CAPITAL) & (before != _STOP) & ~unit
+        h = raw.copy()
+        h[number], h[unit], h[name] = NUM, UNIT, NAME
+        stop = kind == _STOP
+        word = np.flatnonzero(~stop)
+        self.h, self.raw, self.slot, self.sentence = h[word], raw[word], (number | unit | name)[word], np.cumsum(stop)[word]
+        self.start, self.end = start[word], end[word]
+        self.texts = np.cumsum([0] + [len(t or "") + 1 for t in texts[:-1]])
+        self.first = np.searchsorted(self.start, self.texts)
+
+    def token(self, w: int) -> str:
+        return self.text[self.start[w] : self.end[w]].lower()
+
+    def windows(self, lengths: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(starts, hashes, widths) of the windows, also of those that reach into the next text: first those that are
+        specific enough, then the others by their words as they are, then those of the given shorter lengths; how many are
+        of the first sort."""
+        h, raw, sentence = self.h, self.raw, self.sentence
         n = len(h) - WIDTH + 1
         starts, hashes, widths, specific = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
         if n > 0:
-            plain = np.concatenate([[0], np.cumsum(~slot)])
+            plain = np.concatenate([[0], np.cumsum(~self.slot)])
             enough = plain[WIDTH:] - plain[:-WIDTH] >= PLAIN
             good, rest = np.flatnonzero(enough), np.flatnonzero(~enough)
             starts, hashes, widths, specific = [good, rest], [_rolled(h, n, 0)[good], _rolled(raw, n, EXACT, rest)], [np.full(n, WIDTH)], len(good)
@@ -116,7 +191,7 @@ class Canon:
                 starts.append(places)
                 hashes.append(_rolled(raw, m, EXACT + np.uint64(width), places, width))
                 widths.append(np.full(len(places), width))
-        return np.concatenate(starts), np.concatenate(hashes), np.concatenate(widths), specific, slot, tokens, word
+        return np.concatenate(starts), np.concatenate(hashes), np.concatenate(widths), specific
 
 
 def _rolled(h: np.ndarray, n: int, seed: int, at: np.ndarray | None = None, width: int = WIDTH) -> np.ndarray:
@@ -129,40 +204,47 @@ def _rolled(h: np.ndarray, n: int, seed: int, at: np.ndarray | None = None, widt
 
 
 def windows(texts: DataFrame, table: np.ndarray | None, lengths: tuple[int, ...] = ()) -> DataFrame:
-    """Rows (k, h, p, gram, slots, n, extra) of the windows of texts (k, h, text); with a bit table only those in it, and
-    also windows of the given shorter lengths; without, a shorter text is one window. n windows make up the text, extra
-    ones only lengthen runs."""
-    fields = [*texts.schema.fields[:2], T.StructField("p", T.LongType()), T.StructField("gram", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("n", T.LongType()), T.StructField("extra", T.BooleanType())]
+    """Rows (k, h, p, gram, slots) of the windows of texts (k, h, text); with a bit table only those in it, and also windows
+    of the given shorter lengths; without, a shorter text is one window, and rows hold (n, extra) too: n windows make up the
+    text, extra ones only lengthen runs."""
+    fields = [*texts.schema.fields[:2], T.StructField("p", T.LongType()), T.StructField("gram", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType()))]
+    if table is None:
+        fields += [T.StructField("n", T.LongType()), T.StructField("extra", T.BooleanType())]
     sent = texts.sparkSession.sparkContext.broadcast(table)
-    kept: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = kept.get("c") or kept.setdefault("c", Canon())
         bits = sent.value
         for whole in batches:
-            for batch in arrow_pieces(whole):
+            for batch in arrow_pieces(whole, 1 << 20):
                 rows, ps, grams, slots, ns, extras = [], [], [], [], [], []
-                for i, t in enumerate(batch.column(2).to_pylist()):
-                    p, g, width, specific, slot, tokens, word = canon.windows(t or "", lengths)
-                    if bits is None and 0 < len(word) < WIDTH:
-                        n = len(word)
-                        p, g, width = np.zeros(1, np.int64), _rolled(canon.words(t)[1], 1, EXACT + np.uint64(n), None, n), np.array([n])
-                    total = specific or len(p)
-                    extra = np.arange(len(p)) >= total
-                    if bits is not None and len(p):
+                column = batch.column(2).to_pylist()
+                for i, some in enumerate([column] if bits is not None else [[t] for t in column]):
+                    canon = Canon(some)
+                    p, g, width, specific = canon.windows(lengths)
+                    if bits is not None:  # all texts of the batch at once
                         low = (g & np.uint64((1 << BITS) - 1)).astype(np.int64)
-                        inside = (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
-                        p, g, extra, width = p[inside], g[inside], extra[inside], width[inside]
-                    for start, n in zip(p.tolist(), width.tolist()):
-                        rows.append(i)
-                        slots.append([tokens[word[j]].lower() if slot[j] and n == WIDTH else "" for j in range(start, start + n)])
-                        ns.append(total)
-                    ps += p.tolist()
+                        inside = np.flatnonzero((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
+                        p, g, width = p[inside], g[inside], width[inside]
+                        of = np.searchsorted(canon.first, p, "right") - 1
+                        own = np.append(canon.first[1:], len(canon.h))[of] >= p + width
+                        p, g, width, of = p[own], g[own], width[own], of[own]
+                        rows += of.tolist()
+                        ps += (p - canon.first[of]).tolist()
+                    else:
+                        n = len(canon.h)
+                        if 0 < n < WIDTH:
+                            p, g, width = np.zeros(1, np.int64), _rolled(canon.raw, 1, EXACT + np.uint64(n), None, n), np.array([n])
+                        total = specific or len(p)
+                        rows += [i] * len(p)
+                        ps += p.tolist()
+                        ns += [total] * len(p)
+                        extras += [x >= total for x in range(len(p))]
+                    slots += [[canon.token(j) if canon.slot[j] and n == WIDTH else "" for j in range(start, start + n)] for start, n in zip(p.tolist(), width.tolist())]
                     grams += g.view(np.int64).tolist()
-                    extras += extra.tolist()
                 take = pa.array(rows, pa.int32())
+                more = [pa.array(ns, pa.int64()), pa.array(extras, pa.bool_())] if bits is None else []
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(ps, pa.int64()), pa.array(grams, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(ns, pa.int64()), pa.array(extras, pa.bool_())],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(ps, pa.int64()), pa.array(grams, pa.int64()), pa.array(slots, pa.list_(pa.string())), *more],
                     [f.name for f in fields],
                 )
 
@@ -224,7 +306,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     np.bitwise_or.at(table, lows >> 3, (1 << (lows & 7)).astype(np.uint8))
     found = windows(docs.select(F.col(key).alias("k"), text_hash(text).alias("h"), F.col(text).alias("text")), table, lengths)
     items = bounded_broadcast(asked, 200_000).select(F.col("k").alias("item"), F.col("h").alias("ih"), F.col("p").alias("q"), "gram", F.col("slots").alias("item_slots"), F.col("n").alias("item_n"), "extra")
-    hits = found.drop("n", "extra").join(items, "gram")
+    hits = found.join(items, "gram")
     zipped = F.transform(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda x, i: F.struct((F.col("q") + i).alias("w"), x.b.alias("b"), x.d.alias("d")))
     filled = F.filter(zipped, lambda x: (x.b != "") | (x.d != ""))
     diagonals = hits.groupBy("k", "h", "item", "ih", "item_n", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set(F.struct("q", "extra", filled.alias("fills"))).alias("hits"))
