@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm import decontaminate, near_dedup, quality, secret_scan, sentence_pieces
-from stratum.llm.common import materialize, table
+from stratum.llm.common import materialize, small_batches, table
 from stratum.llm.queries import tokenizer_file
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    small_batches(spark)
     scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
     keep = scored.columns[-1]
     return scored.where(F.col(keep)).select(*docs.columns)
@@ -19,16 +20,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    small_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    small_batches(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and n_chars brought up to date."""
+    small_batches(spark)
     masked = secret_scan.redact(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -38,6 +42,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every remaining text."""
+    small_batches(spark)
     return sentence_pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 

@@ -27,7 +27,6 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pieces, bounded_broadcast, fresh, materialize, releasing, text_hash
+from .common import arrow_pieces, bounded_broadcast, fresh, kept, materialize, releasing, text_hash
 
 WIDTH, PLAIN, COVERED = 8, 4, 0.5
 #: Words of a consistent run that agree as they are; so many are a leak.
@@ -58,7 +57,7 @@ _BUILDS, _POINT, _UPPER, _LOWER, _DIGIT, _SIGN = 3, 4, 8, 16, 32, 64
 SLICE = 1 << 17
 
 
-@lru_cache(maxsize=1)
+@kept(1)
 def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all characters the marks and the value of the lower-case form; of the marks the kind of a token that begins so."""
     every = "".join(map(chr, range(sys.maxunicode + 1)))
@@ -85,7 +84,7 @@ def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return marks, low ^ (low >> np.uint64(27)), kinds
 
 
-@lru_cache(maxsize=2)
+@kept(2)
 def _powers(base: int) -> np.ndarray:
     out = np.full(SLICE, base, np.uint64)
     out[0] = 1

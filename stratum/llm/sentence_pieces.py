@@ -22,7 +22,6 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pieces, releasing
+from .common import arrow_pieces, kept, releasing
 
 BLANK = "▁"
 #: Ways to cut a text, the finest first; one fits a vocabulary if it leaves every piece whole.
@@ -223,9 +222,9 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-@lru_cache(2)
+@kept(2)
 def pieces(path: str) -> Pieces:
-    """One for each worker process and file. Its many small objects make no cycles: they need few collections."""
+    """One for each worker process and file, until a task of another operator comes. Its many small objects make no cycles: they need few collections."""
     made = Pieces(path)
     gc.freeze()
     gc.set_threshold(200_000, 50, 100)
